@@ -51,16 +51,16 @@ def samples(words: Iterable[str], p: Params = Params()) -> tuple[list[str], list
     words = sorted({w for w in words if w.isascii() and w.isalpha()}) or ["alpha", "value", "index", "name"]
     common = "get set is has find load save read write parse format update delete create user name file path index value count list map key data time date config server client request response handler manager service test error message string number array object table column session account order item page content type version".split()
     kinds = {"hex": string.digits + "abcdef", "HEX": string.digits + "ABCDEF", "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "url64": string.ascii_letters + string.digits + "-_", "upper": string.ascii_uppercase + string.digits, "lower": string.ascii_lowercase + string.digits}
-    random = []
-    for chars in kinds.values():
-        for _ in range(p.per_kind):
-            s = "".join(rng.choice(list(chars), rng.integers(16, 65)))
-            random.append(rng.choice(["", "", "", "AKIA", "ghp_", "sk-", "xoxb-"]) + s if chars == kinds["base62"] else s)
-    ordinary = []
+    prefixes = ["", "", "", "AKIA", "ghp_", "sk-", "xoxb-"]
+    random, ordinary = [], []
+    for kind, chars in kinds.items():
+        for size in rng.integers(16, 65, p.per_kind).tolist():
+            s = "".join([chars[i] for i in rng.integers(0, len(chars), size).tolist()])
+            random.append(prefixes[int(rng.integers(0, 7))] + s if kind == "base62" else s)
     pool = [words, common]
     for i in range(p.per_kind * len(kinds)):
-        n = int(rng.integers(2, 7))
-        w = [str(x).lower() for x in rng.choice(pool[i % 2], n)]
+        own = pool[i % 2]
+        w = [own[j].lower() for j in rng.integers(0, len(own), int(rng.integers(2, 7))).tolist()]
         kind = i % 8
         if kind == 0:
             ordinary.append("_".join(w))
@@ -75,17 +75,16 @@ def samples(words: Iterable[str], p: Params = Params()) -> tuple[list[str], list
         elif kind == 5:
             ordinary.append(f"{rng.integers(1970, 2040)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}-{'-'.join(w)}" if i % 2 else "".join(x.capitalize() for x in w))
         elif kind == 6:
-            ordinary.append("".join(w) if i % 3 else rng.choice(list("-_+/")) * int(rng.integers(16, 60)))
+            ordinary.append("".join(w) if i % 3 else "-_+/"[int(rng.integers(0, 4))] * int(rng.integers(16, 60)))
         else:
             ordinary.append("".join(map(str, rng.integers(0, 10, rng.integers(8, 33)))))
     return random, ordinary
 
 
 def _log_probabilities(texts: Iterable[str]) -> np.ndarray:
-    n = np.full((EDGE + 1, EDGE), 0.5)
-    for t in texts:
-        c = _CODE[np.frombuffer(t.encode(), np.uint8)]
-        np.add.at(n, (np.append(EDGE, c[:-1]), c), 1)
+    raw = np.frombuffer("\n".join(["", *texts]).encode(), np.uint8)
+    code = np.where(raw == 10, EDGE, _CODE[raw])
+    n = np.bincount(code[:-1] * (EDGE + 1) + code[1:], minlength=(EDGE + 1) ** 2).reshape(EDGE + 1, EDGE + 1)[:, :EDGE] + 0.5
     return np.log(n / n.sum(1, keepdims=True))
 
 
