@@ -83,7 +83,7 @@ def samples(words: Iterable[str], p: Params = Params()) -> tuple[list[str], list
 
 def _log_probabilities(texts: Iterable[str]) -> np.ndarray:
     raw = np.frombuffer("\n".join(["", *texts]).encode(), np.uint8)
-    code = np.where(raw == 10, EDGE, _CODE[raw])
+    code = np.where(_CODE[raw] < 0, EDGE, _CODE[raw])  # line ends, and what isn't a character of candidates
     n = np.bincount(code[:-1] * (EDGE + 1) + code[1:], minlength=(EDGE + 1) ** 2).reshape(EDGE + 1, EDGE + 1)[:, :EDGE] + 0.5
     return np.log(n / n.sum(1, keepdims=True))
 
