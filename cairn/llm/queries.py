@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bag_minhash, chat, decontaminate, language_id, licenses, order_minhash, packing, quality, secrets
+import corpus_pipeline
+
+from . import bag_minhash, chat, decontaminate, language_id, licenses, order_minhash, packing, quality, secrets, sharding
 from .common import table
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.languages(table(spark, sf_dir, "documents"))
 
@@ -51,11 +57,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_order_minhash": op3_order_minhash,
     "op4_secret_scan": op4_secret_scan,
+    "op5_sharding": op5_sharding,
     "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op8_packing": op8_packing,
     "op9_chat_format": op9_chat_format,
     "op10_license_scan": op10_license_scan,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}
