@@ -83,7 +83,7 @@ def render(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[tu
         foot = common_suffix(before[head:], now[head:])
         if head + foot < len(before):
             rewritten.append(i)
-        else:  # an insertion; where several places give the same string, the one before the foot
+        elif len(now) > len(before):  # an insertion; where several places give the same string, the one before the foot
             shift = max(0, min(head, min(end, len(before)) - foot))
             if shift and before[head - shift : head] == now[len(now) - foot - shift : len(now) - foot]:
                 head, foot = head - shift, foot + shift

@@ -96,7 +96,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     edge = np.diff(on)
     cut = offsets[1:-1] - lo  # a word ends where its text does
     cut = cut[(cut > 0) & (cut < len(own))]
-    cut = cut[(on[cut] == 1) & (on[cut + 1] == 1)]
+    cut = np.unique(cut[(on[cut] == 1) & (on[cut + 1] == 1)])  # empty texts end where others do
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if len(cut):
         starts, ends = np.sort(np.append(starts, cut)), np.sort(np.append(ends, cut))
