@@ -15,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.delta import subscribed
+from ..shipping import shipped
 
 FEED = "version bigint, seq bigint, op string, table_id int, entity_id bigint, data string"
 
@@ -72,6 +73,7 @@ def _apply(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupSt
 
 def replica(feed: DataFrame) -> DataFrame:
     """The rows that change, in update mode.  Ops that come twice or late change nothing: state keeps each row's (version, seq)."""
+    shipped(feed.sparkSession)
     return feed.groupBy("entity_id").applyInPandasWithState(_apply, ROW, "state string", "update", GroupStateTimeout.NoTimeout)
 
 
