@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+
 #: Bytes of text in an Arrow batch.  Operators work on pieces of CHUNK_BYTES, so a worker's memory doesn't follow the batch.
 BATCH_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
@@ -19,7 +21,7 @@ CHUNK_BYTES = 1 << 20
 def tuned(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches by bytes as well as by rows: documents differ in length by five orders of magnitude."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return spark
+    return shipped(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
