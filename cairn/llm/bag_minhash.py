@@ -112,7 +112,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int,
         state1 = mix(state[one] + _ONE)
         position = (state1 >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)
         np.minimum.at(h, d[one] * m + position.astype(np.int64), time[one])
-        touched = np.unique(d[one])
+        touched = np.flatnonzero(np.bincount(d[one], minlength=n))
         last[touched] = h.reshape(n, m)[touched].max(1)
         state2 = mix(state1 + _ONE)
         parts = [(d[one], b[one], level[one], unit[one], weight[one], state2, time[one] - np.log(_uniform(state2)))]
@@ -203,7 +203,7 @@ def verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected edges (a, b), the component being its least node: alternating large and small stars."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -
     x = left.select("band", "hub", F.col("doc_id").alias("a"), F.col("g").alias("ga"))
     y = left.select("band", F.col("doc_id").alias("b"), F.col("g").alias("gb"))
     rest = x.join(y, "band").where("a < b and ga <> gb and a <> hub").select("a", "b").distinct()  # those with the hub are compared already
-    again = verified(rest, candidates, p)
+    again = checkpointed(verified(rest, candidates, p))
     grouped = components(near.unionByName(again).unionByName(copies))
     return grouped.select(F.col("node").alias("doc_id"), F.col("component").alias("keep_id"))
 
