@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import shipped
+from ..sources.files import Files
 
 #: Bytes of text in an Arrow batch.  Operators work on pieces of CHUNK_BYTES, so a worker's memory doesn't follow the batch.
 BATCH_BYTES = 8 << 20
@@ -28,16 +30,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the cluster's shared checkpoint folder, so that its lineage ends and lost executors don't matter."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, in local mode, a temporary one."""
+    sc = spark.sparkContext
+    if not (folder := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getCheckpointDir()
+    return folder  # type: ignore[return-value]
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the cluster's shared checkpoint folder, so that its lineage ends and lost executors don't matter."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Written:
+    """Tables of a loop, as Parquet in the shared folder.
+
+    A checkpoint ends a plan's lineage but keeps the constraints on its columns, which double with each round of a loop.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.files = spark, Files(spark)
+        self.folder = f"{shared_folder(spark)}/loop-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, name: str) -> None:
+        self.files.delete(f"{self.folder}/{name}")
+
+
 def utf8(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The array's UTF-8 bytes and the len(text) + 1 offsets of its values; nulls are empty."""
     if isinstance(text, pa.ChunkedArray):

@@ -1,14 +1,16 @@
 """Sharding by balanced label propagation over linked documents.
 
-Documents that hold the same passage, a line of at least `least_chars` characters, are linked: each of a passage's documents with the one before it by
-id and with the first, in parts of about `part` documents, and the parts' first ones with each other's least.  So links grow with the documents
-that hold a passage, not with their square, and no document has many times more links than it would in a passage of one part.  A link's weight is the sum of its passages'
-weights, 1 / (documents that hold it - 1).  Shards start as equal hash ranges of ids, and in every round each document computes by a join over the
-links how much weight it has in every shard.  It asks for the shard that has most, if that is more than its own shard has.
-
-Quotas bound what moves: a round lets as many documents go from shard s to t as come from t to s, best gain first, plus what t still has room for to documents / shards * (1 + slack), and as s can spare down to documents / shards * (1 - slack), shared in proportion to what is asked
-for.  Sizes so stay between these two in every round.  In odd rounds only one half of the documents, by a hash, may ask, in even rounds the other, so that neighbours don't
-swap places for ever.  The rounds end when the cut weight falls by less than `least_progress`, and the best assignment seen is returned.
+Documents that hold the same passage, a line of at least `least_chars` characters, are linked: each of a passage's documents with the one
+before it by id and with the first, in parts of about `part` documents, and the parts' first ones with the passage's least id.  So links grow with
+the documents that hold a passage, not with their square, and no document has many times more links than a part has documents.  A link's weight
+is the sum of its passages' weights, 1 / (documents that hold it - 1).  Shards start as equal hash ranges of ids.  In every round each document
+computes by a join over the links how much weight it has in every shard, and asks for the shard that has most if its own has less.  Only a half of the
+documents may ask, by a hash that differs from round to round, so that neighbours don't swap places for ever.
+
+Quotas bound what moves: as many documents go from shard s to t as come from t to s, best gain first, and beyond that a share, in proportion to
+what is asked for, of the room that t has up to documents / shards * (1 + slack) and of what s can spare down to documents / shards *
+(1 - slack).  Sizes so stay between these two in every round.  The rounds end when three in turn lower the cut weight by less than
+`least_progress`, and the best assignment seen is returned.
 
 Defined results: null texts and texts without a long enough line have no links and keep their first shard.  Rows of one doc_id are one document
 with the passages of all.  Rows without doc_id get no shard and aren't in the result.  Ties between shards go to the lowest number, ties in gain to
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, tuned
+from .common import Written, checkpointed, tuned
 
 
 @dataclass(frozen=True)
@@ -30,7 +32,7 @@ class Params:
     shards: int = 16
     slack: float = 0.05
     least_chars: int = 40
-    rounds: int = 10
+    rounds: int = 14
     part: int = 10_000  # documents of a passage in one part
     least_progress: float = 0.01  # of the cut weight
     seed: int = 9
@@ -87,6 +89,7 @@ def shards(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFra
     moving = checkpointed(now.join(edges.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     resting = now.join(moving.select("doc_id"), "doc_id", "left_anti")
     fixed = {r["shard"]: r["n"] for r in resting.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    tables = Written(spark)
     best, best_cut, stale = moving, None, 0
     for turn in range(p.rounds + 1):
         said = edges.join(moving.select(F.col("doc_id").alias("b"), "shard"), "b").groupBy("a", "shard").agg(F.sum("weight").alias("w"))
@@ -97,14 +100,14 @@ def shards(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFra
             F.sum("w").alias("every"),
             F.coalesce(F.sum(F.when(F.col("shard") == F.col("own"), F.col("w"))), F.lit(0.0)).alias("mine"),
         )
-        state = checkpointed(seen.select("a", "own", (-F.col("top.less")).cast("int").alias("to"), (F.col("top.w") - F.col("mine")).alias("gain"), (F.col("every") - F.col("mine")).alias("cut")))
+        state = tables.write(seen.select("a", "own", (-F.col("top.less")).cast("int").alias("to"), (F.col("top.w") - F.col("mine")).alias("gain"), (F.col("every") - F.col("mine")).alias("cut")), f"state-{turn}")
         cut = state.agg(F.sum("cut")).first()[0] or 0.0
         stale = stale + 1 if best_cut is not None and cut > best_cut * (1 - p.least_progress) else 0
         if best_cut is None or cut < best_cut:
             best, best_cut = moving, cut
-        if turn == p.rounds or not cut or stale >= 2:
+        if turn == p.rounds or not cut or stale >= 3:
             break
-        may = state.where("gain > 1e-9 and to <> own").where(F.pmod(F.xxhash64("a", F.lit(p.seed + 1)), F.lit(2)) == turn % 2)
+        may = state.where("gain > 1e-9 and to <> own").where(F.pmod(F.xxhash64("a", F.lit(p.seed + 1 + turn)), F.lit(2)) == 0)
         asked = {(r["own"], r["to"]): r["n"] for r in may.groupBy("own", "to").agg(F.count("*").alias("n")).collect()}  # at most shards ** 2 rows
         sizes = {r["shard"]: r["n"] for r in moving.groupBy("shard").agg(F.count("*").alias("n")).collect()}
         allowed = quotas(asked, {s: sizes.get(s, 0) + fixed.get(s, 0) for s in range(p.shards)}, least, most)
@@ -114,5 +117,6 @@ def shards(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFra
         quota = spark.createDataFrame([(s, t, n) for (s, t), n in allowed.items()], "own int, to int, quota long")
         nth = F.row_number().over(Window.partitionBy("own", "to").orderBy(F.desc("gain"), F.xxhash64("a", F.lit(p.seed)), "a"))
         moved = may.withColumn("nth", nth).join(F.broadcast(quota), ["own", "to"]).where("nth <= quota").select(F.col("a").alias("doc_id"), F.col("to").alias("new"))
-        moving = checkpointed(moving.join(moved, "doc_id", "left").select("doc_id", F.coalesce("new", "shard").alias("shard")))
+        moving = tables.write(moving.join(moved, "doc_id", "left").select("doc_id", F.coalesce("new", "shard").alias("shard")), f"moving-{turn}")
+        tables.drop(f"state-{turn}")
     return best.unionByName(resting)

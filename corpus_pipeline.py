@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import bag_minhash, decontaminate, language_id, packing, secrets
-from cairn.llm.common import checkpointed, tuned
+from cairn.llm.common import shared_folder, tuned
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +56,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of the table documents; what a stage gives is written as Parquet beside the checkpoints and read by the next."""
     tuned(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    checkpointed(spark.range(0))  # sets a folder where the session has none
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    own = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    own = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{own}/{k}")
