@@ -19,6 +19,7 @@ one row of them, that of the least text.  Of a group the least id stays.  Texts
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mix, pieces, tuned, utf8, words
+from .common import Written, checkpointed, mix, pieces, tuned, utf8, words
 
 RESULT = "struct<f1:bigint,f2:bigint,bands:array<bigint>>"
 _LOW = np.arange(256, dtype=np.uint8)
@@ -203,19 +204,22 @@ def verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected edges (a, b), the component being its least node: alternating large and small stars."""
-    edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    tables = Written(edges.sparkSession)
+    edges = tables.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "0")
     before = None
-    while True:
+    for turn in itertools.count(1):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = checkpointed(small.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        edges = tables.write(small.unionByName(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), str(turn))
+        tables.drop(str(turn - 1))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now
+    raise AssertionError  # the loop ends when nothing changes
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
