@@ -1,7 +1,9 @@
 """Sharding by balanced label propagation over linked documents.
 
-Documents that hold the same passage, a line of at least `least_chars` characters, are linked: each of a passage's documents with the one
-before it by id and with the first, in parts of about `part` documents, and the parts' first ones with the passage's least id.  So links grow with
+Documents that hold the same passage are linked.  Passages are whole lines of at least `least_chars` characters, and, wherever lines end, `gram` words
+in a row: of any `window` neighbouring ones that of least hash is taken, so documents that share gram + window - 1 words in a row share a passage,
+in near copies of edited lines and in quotations inside a line too.  A passage of words that stands in one and the same long line wherever it is
+held is that line, and doesn't count again.  Each of a passage's documents is linked with the one before it by id and with the first, in parts of about `part` documents, and the parts' first ones with the passage's least id.  So links grow with
 the documents that hold a passage, not with their square, and no document has many times more links than a part has documents.  A link's weight
 is the sum of its passages' weights, 1 / (documents that hold it - 1).  Shards start as equal hash ranges of ids.  In every round each document
 computes by a join over the links how much weight it has in every shard, and asks for the shard that has most if its own has less.  Only a half of the
@@ -12,19 +14,24 @@ what is asked for, of the room that t has up to documents / shards * (1 + slack)
 (1 - slack).  Sizes so stay between these two in every round.  The rounds end when three in turn lower the cut weight by less than
 `least_progress`, and the best assignment seen is returned.
 
-Defined results: null texts and texts without a long enough line have no links and keep their first shard.  Rows of one doc_id are one document
+Words are what white space and controls separate.  Text without any is linked by its lines alone.
+
+Defined results: null texts and texts that share no passage have no links and keep their first shard.  Rows of one doc_id are one document
 with the passages of all.  Rows without doc_id get no shard and aren't in the result.  Ties between shards go to the lowest number, ties in gain to
 the lower hash of the id.  With fewer documents than shards some are empty.  An empty table gives no rows.  Other columns aren't looked at.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, checkpointed, tuned
+from .common import Written, checkpointed, mix, pieces, tuned, utf8, words
 
 
 @dataclass(frozen=True)
@@ -32,17 +39,94 @@ class Params:
     shards: int = 16
     slack: float = 0.05
     least_chars: int = 40
+    gram: int = 8  # words of a passage that isn't a line
+    window: int = 8  # of these, one is taken; at most gram, so that none reaches into the next text
     rounds: int = 14
     part: int = 10_000  # documents of a passage in one part
     least_progress: float = 0.01  # of the cut weight
     seed: int = 9
 
 
+def line_keys(own: np.ndarray, offsets: np.ndarray, least_chars: int) -> np.ndarray:
+    """A key of each line's bytes; 0 for lines of fewer characters."""
+    seen = np.append(0, np.cumsum((own & 0xC0) != 0x80))
+    ends = offsets[1:].copy()
+    ends[(ends > offsets[:-1]) & (own[ends - 1] == 10)] -= 1
+    out = np.zeros(len(ends), np.int64)
+    raw = memoryview(own)
+    for i in np.flatnonzero(seen[ends] - seen[offsets[:-1]] >= least_chars).tolist():
+        a, b = int(offsets[i]), int(ends[i])
+        out[i] = (b - a << 32 | zlib.crc32(raw[a:b])) & 0x7FFFFFFFFFFFFFFF
+    return out
+
+
+def winnowed(data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value's index, hash of its words, key of the long line that holds them all or 0), each once, in order of the values."""
+    none = np.zeros(0, np.int64)
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    own = np.ascontiguousarray(data[lo:hi])
+    if not len(own):
+        return none, none, none
+    bounds = np.unique(np.concatenate([offsets - lo, np.flatnonzero(own == 10) + 1]))
+    h, line = words(own, bounds)
+    n = len(h) - p.gram + 1
+    if n < 1:
+        return none, none, none
+    doc = (np.searchsorted(offsets - lo, bounds[:-1], "right") - 1)[line]
+    g = np.zeros(n, np.uint64)
+    for j in range(p.gram):
+        g = g * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    g = mix(g) >> np.uint64(1)
+    most = np.uint64(2**64 - 1)
+    g[doc[:n] != doc[p.gram - 1 :]] = most  # gram - 1 of these end a text, so windows of at most gram see one text
+    wide = np.full(n + 2 * p.window - 2, most, np.uint64)
+    wide[p.window - 1 : p.window - 1 + n] = g
+    least = wide[: n + p.window - 1].copy()
+    for j in range(1, p.window):
+        np.minimum(least, wide[j : j + len(least)], out=least)
+    top = least[:n].copy()
+    for j in range(1, p.window):
+        np.maximum(top, least[j : j + n], out=top)
+    at = np.flatnonzero((g == top) & (g != most))
+    key = np.where(line[at] == line[at + p.gram - 1], line_keys(own, bounds, p.least_chars)[line[at]], 0)
+    of, hashes = doc[at], g[at].view(np.int64)
+    order = np.lexsort((key, hashes, of))
+    of, hashes, key = of[order], hashes[order], key[order]
+    new = np.append(True, (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1]) | (key[1:] != key[:-1]))[: len(of)]
+    return of[new], hashes[new], key[new]
+
+
+def grams(p: Params):  # noqa: ANN201
+    def one(text: pa.Array) -> pa.Array:
+        data, offsets = utf8(text)
+        sizes, hashes, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in pieces(offsets):
+            of, h, k = winnowed(data, offsets[a : b + 1], p)
+            sizes.append(np.bincount(of, minlength=b - a))
+            hashes.append(h)
+            keys.append(k)
+        ends = np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(keys))], ["passage", "line"])
+        return pa.ListArray.from_arrays(pa.array(ends), values)
+
+    return F.arrow_udf(one, "array<struct<passage:bigint,line:bigint>>")
+
+
+def shared_grams(own: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, passage, more) of words in a row that several documents hold, not all of them within the same line."""
+    every = own.select("doc_id", F.explode(grams(p)("t")).alias("g")).select("doc_id", "g.*")
+    of = Window.partitionBy("passage")
+    bounds = {f"{side}_{c}": f(c).over(of) for c in ("doc_id", "line") for side, f in (("least", F.min), ("most", F.max))}
+    held = every.withColumns(bounds).where("least_doc_id <> most_doc_id and (least_line <> most_line or least_line = 0)")
+    return held.select("doc_id", "passage", F.lit(0).alias("more"))
+
+
 def links(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """(a, b, weight), both ways."""
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t")).where("doc_id is not null")
     lines = own.select("doc_id", F.explode(F.filter(F.split("t", "\n"), lambda x: F.length(x) >= p.least_chars)).alias("line"))
-    holds = lines.select("doc_id", F.xxhash64("line", F.lit(p.seed)).alias("passage"), F.hash("line").alias("more")).distinct()
+    whole = lines.select("doc_id", F.xxhash64("line", F.lit(p.seed)).alias("passage"), F.hash("line").alias("more"))
+    holds = whole.unionByName(shared_grams(own, p)).distinct()
     stats = holds.groupBy("passage", "more").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
     # a passage that very many hold is cut into parts, so that no task has all of them
     held = holds.join(stats, ["passage", "more"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / p.part)))

@@ -247,6 +247,33 @@ def test_links_equal_plain_ones(spark):
     assert reach >= {1, 2, 3, 6}
 
 
+def test_near_copies_and_quotations_are_linked(spark):
+    lines = [nasty.prose(700 + i, 24) for i in range(6)]
+    edited = [" ".join([*x.split()[:20], "changed", *x.split()[21:]]) for x in lines]
+    quoted = nasty.prose(720, 15)
+    docs = [
+        (1, "\n".join(lines)),
+        (2, "\n".join(edited)),  # an edit in each line
+        (3, f"{nasty.prose(730, 9)} {quoted} {nasty.prose(731, 11)}"),
+        (4, f"{nasty.prose(732, 14)} {quoted} {nasty.prose(733, 3)}"),  # a quotation inside a line
+        (5, " ".join(nasty.prose(740, 40).split())),
+        (6, "\n".join(" ".join(nasty.prose(740, 40).split()[i : i + 5]) for i in range(0, 40, 5))),  # other line ends
+        (7, nasty.prose(750, 60)),
+    ]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.a, r.b) for r in H.links(df).collect()} == {(1, 2), (2, 1), (3, 4), (4, 3), (5, 6), (6, 5)}
+
+
+def test_shared_runs_of_words_are_seen_wherever_they_stand():
+    p, r = H.Params(), random.Random(3)
+    for k in range(200):
+        shared = [f"s{k}w{i}" for i in range(p.gram + p.window - 1)]
+        a, b = ([f"{x}{k}w{i}" for i in range(r.randint(0, 40))] + shared + [f"{x}{k}v{i}" for i in range(r.randint(0, 40))] for x in "ab")
+        texts = [r.choice((" ", "\n")).join(a).encode(), b"", "\n".join(b).encode(), b"few words"]
+        of, h, _ = H.winnowed(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])), p)
+        assert set(h[of == 0].tolist()) & set(h[of == 2].tolist()) and set(of.tolist()) == {0, 2}
+
+
 def test_quotas_keep_sizes():
     r = random.Random(4)
     for _ in range(200):
