@@ -58,8 +58,6 @@ def features(h: np.ndarray) -> np.ndarray:
     place = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     key >>= bits
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    if len(first) == n:
-        return h
     number = np.empty(n, np.uint64)
     number[place] = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
     return mix(h + number * np.uint64(0x9E3779B97F4A7C15))

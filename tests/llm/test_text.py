@@ -55,6 +55,23 @@ def test_sketch_equals_a_plain_one(text):
     assert O.sketch(text, p, a, b).tolist() == plain_sketch(text, p)
 
 
+def test_one_repeat_changes_no_other_feature():
+    p = O.Params(m=256)
+    a, b = O.constants(p)
+    text = "".join(chr(0x4E00 + i) for i in range(200))  # no 6-mer twice
+    near = text + text[:6]
+    h, again = O.kmer_hashes(text, p.k), O.kmer_hashes(near, p.k)
+    assert len(set(h.tolist())) == len(h) and len(set(again.tolist())) < len(again)
+    assert O.features(again)[: len(h)].tolist() == O.features(h).tolist()
+    for x in (h, again):  # numbered without a switch
+        seen, want = Counter(), []
+        for v in x.tolist():
+            want.append(int(O.mix(np.array([(v + seen[v] * 0x9E3779B97F4A7C15) % 2**64], np.uint64))[0]))
+            seen[v] += 1
+        assert O.features(x).tolist() == want
+    assert (O.sketch(text, p, a, b) == O.sketch(near, p, a, b)).mean() > 0.8
+
+
 def test_sketch_of_a_long_text():
     p = O.Params(m=4)
     a, b = O.constants(p)
