@@ -9,12 +9,13 @@ window.  The least total cost is
 
 whose minimum over j of cost[j] + length[j] is taken from a monotone queue, so time is linear in the number of sentences.
 
-The sequence is cut beforehand into runs of `docs_per_run` consecutive ids, the last window of each being padded: runs are packed in parallel,
-and what a run gives doesn't depend on the others.  Tokens are those of a byte-level BPE vocabulary file.  Its pre-tokeniser begins a new piece
+The sequence is cut beforehand into runs of `docs_per_run` documents, by their rank in order of (doc_id, hash of the text) whatever the ids are, the
+last window of each being padded: runs are packed in parallel, and what a run gives doesn't depend on the others.  Ranks come from a sort by ranges
+of these two and the ranges' counts; only every docs_per_run-th key goes to the driver.  Tokens are those of a byte-level BPE vocabulary file.  Its pre-tokeniser begins a new piece
 at every single space, so counts are looked up word by word and add up to those of the whole text.
 
-Defined results: null and empty texts have no tokens and are in no window.  Rows without doc_id form a run of their own.  Rows with equal
-doc_id are packed each, in order of a hash of the text.  Equal costs take the longest window.  White space other than single separators, and
+Defined results: null and empty texts have no tokens and are in no window.  Rows without doc_id come last, in runs of their own.  Rows with
+equal doc_id are packed each, in order of a hash of the text; equal rows that fill several runs are spread over them.  Equal costs take the longest window.  White space other than single separators, and
 controls, make a document's sentences be encoded one by one.  Texts are packed whole; other columns aren't looked at.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +36,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, tuned, utf8
+from .common import checkpointed, pieces, tuned, utf8
 
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 UNITS = "struct<tokens:array<int>,chars:array<int>,kinds:array<int>>"
@@ -238,11 +240,45 @@ def _whole(x: object) -> int | None:
     return None if pd.isna(x) else int(x)
 
 
+def run_starts(own: DataFrame, p: Params) -> list[tuple[bool, int, int]]:
+    """The keys (without doc_id, doc_id or 0, h) at which runs begin, but the first run's, in order; one comes again where equal rows fill runs."""
+    keys = own.select(F.col("doc_id").isNull().alias("without"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h")
+    ordered = keys.repartitionByRange("without", "doc_id", "h").sortWithinPartitions("without", "doc_id", "h")
+    # the id holds the partition and, in its lower 33 bits, the row's place
+    placed = checkpointed(ordered.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    counts = {(r["without"], r["part"]): r["n"] for r in placed.groupBy("without", "part").agg(F.count("*").alias("n")).collect()}
+    before, total = [], {False: 0, True: 0}
+    for without, part in sorted(counts):
+        here = counts.get((False, part), 0) if without else 0  # those with doc_id stand before those without
+        before.append((without, part, total[without] - here))
+        total[without] += counts[without, part]
+    if not before:
+        return []
+    starts = own.sparkSession.createDataFrame(before, "without boolean, part long, start long")
+    ranked = placed.join(F.broadcast(starts), ["without", "part"]).withColumn("rank", F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = ranked.where((F.col("rank") % p.docs_per_run == 0)).select("without", "rank", "doc_id", "h").collect()
+    return [(r[0], r[2], r[3]) for r in sorted(tuple(r) for r in rows)][1:]
+
+
+def runs_of(starts: list[tuple[bool, int, int]]):  # noqa: ANN201
+    def one(doc_id: pa.Array, h: pa.Array, at: pa.Array) -> pa.Array:
+        out = []
+        for i, x, n in zip(doc_id.to_pylist(), h.to_pylist(), at.to_pylist(), strict=True):
+            key = (i is None, i or 0, x)
+            last = bisect_right(starts, key)
+            again = last - bisect_left(starts, key)  # runs that begin with this key
+            out.append(last - n % again if again > 1 else last)
+        return pa.array(out, pa.int64())
+
+    return F.arrow_udf(one, "bigint")
+
+
 def packed(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """A row for each window: run, window, doc_ids, spans (doc_id, first and end character, tokens), tokens, padding, kind of cut."""
     tuned(docs.sparkSession)
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t")).where(F.length("t") > 0)
-    counted = own.select(F.floor(F.col("doc_id") / p.docs_per_run).cast("long").alias("run"), "doc_id", F.xxhash64("t").alias("h"), units(p)("t").alias("u")).select("run", "doc_id", "h", "u.*")
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t")).where(F.length("t") > 0).withColumn("h", F.xxhash64("t"))
+    run = runs_of(run_starts(own, p))("doc_id", "h", "at")
+    counted = own.select("doc_id", "h", F.monotonically_increasing_id().alias("at"), units(p)("t").alias("u")).select(run.alias("run"), "doc_id", "h", "u.*")
     names = [x.split()[0] for x in ("run", "window", "doc_ids", "spans", "tokens", "padding", "cut")]
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -219,6 +219,28 @@ def test_windows_hold_every_document_once_in_order(spark, sf):
     assert seen == {r.doc_id: len(r.text) for r in docs.collect() if r.text}
 
 
+def test_runs_hold_equal_numbers_of_documents_whatever_the_ids(spark):
+    schema = "doc_id long, text string"
+    texts = [nasty.prose(800 + i, 20) for i in range(70)]
+    p = P.Params(docs_per_run=20, capacity=256)
+
+    def windows(ids, texts=texts):
+        rows = sorted(P.packed(spark.createDataFrame(list(zip(ids, texts, strict=True)), schema).repartition(5), p).collect(), key=lambda r: (r.run, r.window))
+        return rows, Counter(r.run for r in rows for s in r.spans if s.start == 0)
+
+    dense, sizes = windows(range(70))
+    assert sizes == {0: 20, 1: 20, 2: 20, 3: 10}
+    for ids in ([i * 2**40 + 1 for i in range(70)], [i * 5000 - 170000 for i in range(70)]):
+        rows, sizes = windows(ids)
+        assert sizes == {0: 20, 1: 20, 2: 20, 3: 10}
+        assert [(r.run, r.window, r.tokens, r.cut, [(ids.index(s.doc_id), s.start, s.end) for s in r.spans]) for r in rows] == [(r.run, r.window, r.tokens, r.cut, [(s.doc_id, s.start, s.end) for s in r.spans]) for r in dense]
+    assert sorted(windows([7] * 70)[1].values()) == [10, 20, 20, 20]  # one id
+    rows, sizes = windows([2**60 + i for i in range(25)] + [None] * 45)
+    assert sizes == {0: 20, 1: 5, 2: 20, 3: 20, 4: 5} and {s.doc_id for r in rows for s in r.spans} == {None} | {2**60 + i for i in range(25)}
+    same = windows([None] * 70, texts[:1] * 70)[1]
+    assert sum(same.values()) == 70 and len(same) > 1 and max(same.values()) < 70
+
+
 def test_packing_of_odd_rows(spark):
     docs = nasty.documents(spark)
     rows = P.packed(docs).collect()
