@@ -1,8 +1,10 @@
 """Secret scans with two Markov models of characters.
 
-A candidate is a run of at least `least` characters of [A-Za-z0-9+/_-] without a neighbouring letter beyond ASCII.  One model is of
-random strings, one of ordinary identifiers, words, paths and numbers; both give each character's probability after its predecessor.  A
-candidate is a secret where the log-likelihood ratio of the two, per character, is above `threshold`.  Both are trained from labelled
+A candidate is a run of at least `least` characters of [A-Za-z0-9+/_-].  Other characters end it; where a Latin letter beyond ASCII adjoins, the
+run is a piece of a word and no candidate.  One model is of random strings, one of ordinary identifiers, words, paths and numbers; both give each
+character's probability after its predecessor.  A candidate is a secret where the log-likelihood ratio of the two, per character, is above
+`threshold`.  Where the whole isn't, as in a long path with a key, the stretch of segments between [+/_-] that is most above it is, if it has `least`
+characters, and so on beside that stretch.  Both are trained from labelled
 samples: `samples()` draws them, with words of the corpus among the ordinary ones, or pass your own.
 
 Defined results: null and empty texts have no secrets.  Candidates of one text are independent of each other, so repeated ones are each
@@ -12,6 +14,7 @@ found.  Texts are scanned whole.  Offsets count characters.  Other columns aren'
 from __future__ import annotations
 
 import string
+import unicodedata
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -26,7 +29,7 @@ SPANS = "array<struct<start:bigint,length:bigint,ratio:double,secret:string>>"
 _ALPHABET = string.ascii_letters + string.digits + "+/_-"
 _CODE = np.full(256, -1, np.int64)
 _CODE[[ord(c) for c in _ALPHABET]] = np.arange(len(_ALPHABET))
-_RUN = (_CODE >= 0) | (np.arange(256) >= 128)
+_SEPARATOR = np.isin(np.arange(256), list(b"+/_-"))
 EDGE = len(_ALPHABET)  # stands before the first character
 
 
@@ -100,12 +103,37 @@ def fit(docs: DataFrame, p: Params = Params(), text: str = "text") -> Model:
     return train(*samples((w for r in rows if r[0] for w in r[0].split()), p))
 
 
+def _latin(c: str) -> bool:
+    return c > "\x7f" and c.isalpha() and (unicodedata.name(c, "").startswith("LATIN") or c in "ªº")
+
+
+def stretches(excess: np.ndarray, split: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """The stretches of whole segments, at least `least` long, whose sum is positive: that of the greatest sum, and so on in what is left and right of it."""
+    edge = np.flatnonzero(np.diff(np.append(np.append(True, split), True).astype(np.int8)))
+    begin, end = edge[::2].tolist(), edge[1::2].tolist()
+    total = np.append(0.0, np.cumsum(excess)).tolist()
+    out, left = [], [(0, len(begin))]
+    while left:
+        lo, hi = left.pop()
+        best, chosen, low, k = 0.0, None, None, lo
+        for j in range(lo, hi):
+            while k <= j and end[j] - begin[k] >= least:
+                low = k if low is None or total[begin[k]] < total[begin[low]] else low
+                k += 1
+            if low is not None and total[end[j]] - total[begin[low]] > best:
+                best, chosen = total[end[j]] - total[begin[low]], (low, j)
+        if chosen:
+            out.append((begin[chosen[0]], end[chosen[1]]))
+            left += [(lo, chosen[0]), (chosen[1] + 1, hi)]
+    return sorted(out)
+
+
 def spans(m: Model, data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
     """Of the secrets in the values: value's index, first byte, end, ratio."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     own = data[lo:hi]
     on = np.zeros(len(own) + 2, np.int8)
-    on[1:-1] = _RUN[own]
+    on[1:-1] = _CODE[own] >= 0
     edge = np.diff(on)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     cut = offsets[1:-1] - lo
@@ -115,17 +143,36 @@ def spans(m: Model, data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[n
         starts, ends = np.sort(np.append(starts, cut)), np.sort(np.append(ends, cut))
     long = ends - starts >= p.least
     starts, ends = starts[long], ends[long]
+    if len(starts):
+        # pieces of words with letters beyond ASCII are few, and only those beside such a character are looked at
+        beside = (own[np.maximum(starts - 1, 0)] >= 128) | (own[np.minimum(ends, len(own) - 1)] >= 128)
+        for i in np.flatnonzero(beside).tolist():
+            a, b = int(starts[i]), int(ends[i])
+            v = int(np.searchsorted(offsets - lo, a, "right")) - 1
+            left = own[max(a - 4, int(offsets[v]) - lo) : a].tobytes().decode("utf-8", "ignore")[-1:]
+            right = own[b : min(b + 4, int(offsets[v + 1]) - lo)].tobytes().decode("utf-8", "ignore")[:1]
+            beside[i] = _latin(left) or _latin(right)
+        starts, ends = starts[~beside], ends[~beside]
     size = ends - starts
     if len(starts):
         at = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
         code = _CODE[own[at]]
         first = np.cumsum(size) - size
-        ascii_only = np.minimum.reduceat(code, first) >= 0
         before = np.append(EDGE, code[:-1])
         before[first] = EDGE
-        ratio = np.add.reduceat(m.ratio[before, np.maximum(code, 0)], first) / size
-        keep = ascii_only & (ratio > p.threshold)
+        each = m.ratio[before, code]
+        ratio = np.add.reduceat(each, first) / size
+        keep = ratio > p.threshold
+        split = _SEPARATOR[own[at]]
+        more = []
+        for i in np.flatnonzero(~keep & (size > p.least) & np.logical_or.reduceat(split, first)).tolist():
+            f, n = int(first[i]), int(size[i])
+            more += [(int(starts[i]) + a, int(starts[i]) + b, float(each[f + a : f + b].mean())) for a, b in stretches(each[f : f + n] - p.threshold, split[f : f + n], p.least)]
         starts, ends, ratio = starts[keep], ends[keep], ratio[keep]
+        if more:
+            starts, ends, ratio = (np.append(x, y) for x, y in zip((starts, ends, ratio), zip(*more, strict=True), strict=True))
+            order = np.argsort(starts)
+            starts, ends, ratio = starts[order], ends[order], ratio[order]
     else:
         ratio = np.zeros(0)
     return np.searchsorted(offsets - lo, starts, "right") - 1, starts + lo, ends + lo, ratio
