@@ -79,6 +79,21 @@ def replay(base: DataFrame, log: DataFrame, key: str = "entity_id", since: int =
     return fold(base, ops, key)
 
 
+def entry_checksum(log: DataFrame) -> Column:
+    """CRC32 over all columns of a log entry, nulls included, whatever their order."""
+    return F.crc32(F.to_json(F.struct(*sorted(log.columns)), {"ignoreNullFields": "false", "timeZone": "UTC"}).cast("binary"))
+
+
+def sealed(log: DataFrame) -> DataFrame:
+    """log with the checksum of each entry."""
+    return log.withColumn("checksum", entry_checksum(log))
+
+
+def tampered(log: DataFrame) -> DataFrame:
+    """Entries of a sealed log that aren't as they were."""
+    return log.where(~F.col("checksum").eqNullSafe(entry_checksum(log.drop("checksum"))))
+
+
 def last_version(log: DataFrame) -> DataFrame:
     return log.where(F.col("op") == "commit").agg(F.coalesce(F.max("transaction_id"), F.lit(0)).alias("version"))
 

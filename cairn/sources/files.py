@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from typing import Any
 
 from pyspark.sql import SparkSession
 
 
+_LOCAL: dict[str, str] = {}  # by application
+
+
 def scratch(spark: SparkSession) -> str:
-    """A folder that all executors share: the one of spark.checkpoint.dir, in local mode a new temporary one if that is unset."""
+    """A folder that all executors share: the one of spark.checkpoint.dir, in local mode a temporary one of the application if that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="scratch-")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="scratch-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
+    return _LOCAL[app]
 
 
 class Files:
@@ -46,7 +55,7 @@ class Files:
     def write(self, path: str, text: str) -> None:
         """The file is either the old or the new one at any time, where the store renames atomically."""
         fs, p = self._at(path)
-        new = self.jvm.org.apache.hadoop.fs.Path(path + ".new")
+        new = self.jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}.new")  # readers of the folder don't see it
         stream = fs.create(new, True)
         try:
             stream.write(bytearray(text.encode()))

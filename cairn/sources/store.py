@@ -1,26 +1,38 @@
 """Versioned snapshots and the log of ops, as Parquet.
 
     <root>/snapshots/v=<version>/<table>/*.parquet   and _manifest.json with schemas, row counts and checksums
-    <root>/log/<table>/bucket=<version // log_bucket>/*.parquet   ops with transaction markers
+    <root>/snapshots/v=<version>/registry/*.parquet   the entities, if the database has a registry
+    <root>/log/<table>/bucket=<version // log_bucket>/*.parquet   ops with time, checksum and attempt
+    <root>/marks/bucket=<version // log_bucket>/*.json   commit and rollback markers, each for a transaction's ops in all tables
+    <root>/entities/<first op>-<last op>-<attempt>.json   creations and deletions of entities
     <root>/current.json   the version that readers see
 
-A snapshot counts once its manifest is written, a log transaction once its commit marker is.
+A snapshot counts once its manifest is written, a transaction once its commit marker is.  Ops and marker carry the attempt that wrote them: what an attempt
+without marker left behind doesn't count when its version is used again.  Ops are checked against their checksums as they are replayed.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import time
+import uuid
+import zlib
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import registry
 from ..config import Config
-from ..functions.values import row_checksum
-from ..operators.ops import replay
+from ..functions.values import micros, row_checksum
+from ..operators.ops import entry_checksum, fold
 from .files import Files
 
+MARKS = "transaction_id bigint, op string, attempt string, timestamp bigint, bucket bigint"
+KEPT = ("attempt", "timestamp", "checksum", "bucket")  # columns that the log adds
+REGISTRY = "registry"
+
 
 class CorruptSnapshot(ValueError):
     """A snapshot's rows don't match its manifest."""
@@ -38,15 +50,21 @@ class Store:
 
     # snapshots
 
-    def write(self, tables: Mapping[str, DataFrame], version: int, key: str = "entity_id") -> None:
+    def write(self, tables: Mapping[str, DataFrame], version: int, key: str = "entity_id", entities: registry.Registry | None = None) -> None:
         """Files are sorted by key, so that a point lookup reads few row groups."""
         path = self._snapshot(version)
-        manifest: dict = {"version": version, "tables": {}}
-        for name, df in tables.items():
+        manifest: dict = {"version": version, "time": time.time_ns() // 1000, "tables": {}}
+        if entities is not None:
+            manifest |= {"seq": entities.seq, "created": entities.created}
+        for name, df in {**tables, **({REGISTRY: entities.frame()} if entities is not None else {})}.items():
             (df.repartitionByRange(key) if key in df.columns else df).sortWithinPartitions(*([key] if key in df.columns else df.columns[:1])).write.mode("overwrite").option("compression", self.config.compression).parquet(f"{path}/{name}")
             written = self.spark.read.schema(df.schema).parquet(f"{path}/{name}")
             rows = written.agg(F.count("*").alias("n"), row_checksum(written).alias("c")).first()
-            manifest["tables"][name] = {"schema": json.loads(df.schema.json()), "rows": rows["n"], "checksum": rows["c"]}
+            about = {"schema": json.loads(df.schema.json()), "rows": rows["n"], "checksum": rows["c"]}
+            if name == REGISTRY and entities is not None:
+                manifest[REGISTRY] = about
+            else:
+                manifest["tables"][name] = about
         self.files.write(f"{path}/_manifest.json", json.dumps(manifest))
 
     def versions(self) -> list[int]:
@@ -56,21 +74,21 @@ class Store:
     def manifest(self, version: int) -> dict:
         return json.loads(self.files.read(f"{self._snapshot(version)}/_manifest.json"))
 
+    def _table(self, version: int, name: str, about: dict, verify: bool) -> DataFrame:
+        df = self.spark.read.schema(T.StructType.fromJson(about["schema"])).parquet(f"{self._snapshot(version)}/{name}")
+        if verify:
+            rows = df.agg(F.count("*").alias("n"), row_checksum(df).alias("c")).first()
+            if (rows["n"], rows["c"]) != (about["rows"], about["checksum"]):
+                raise CorruptSnapshot(f"{name} at version {version}: {rows['n']} rows, {about['rows']} written, or another checksum")
+        return df
+
     def read(self, version: int | None = None, verify: bool = True) -> tuple[int, dict[str, DataFrame]]:
         """(version, tables) of a snapshot, by default the newest; (0, nothing) if there is none."""
         have = self.versions()
         if not have and version is None:
             return 0, {}
         version = have[-1] if version is None else version
-        tables = {}
-        for name, m in self.manifest(version)["tables"].items():
-            df = self.spark.read.schema(T.StructType.fromJson(m["schema"])).parquet(f"{self._snapshot(version)}/{name}")
-            if verify:
-                rows = df.agg(F.count("*").alias("n"), row_checksum(df).alias("c")).first()
-                if (rows["n"], rows["c"]) != (m["rows"], m["checksum"]):
-                    raise CorruptSnapshot(f"{name} at version {version}: {rows['n']} rows, {m['rows']} written, or another checksum")
-            tables[name] = df
-        return version, tables
+        return version, {name: self._table(version, name, about, verify) for name, about in self.manifest(version)["tables"].items()}
 
     def prune(self, keep: int | None = None) -> list[int]:
         """Drops all but the newest `keep` snapshots; the versions dropped."""
@@ -81,59 +99,136 @@ class Store:
 
     # log
 
-    def append(self, table: str, ops: DataFrame) -> None:
-        """ops: (transaction_id, sequence, op, key, data), markers included."""
-        bucket = F.floor(F.col("transaction_id") / self.config.log_bucket).alias("bucket")
-        ops.select("*", bucket).write.mode("append").partitionBy("bucket").option("compression", self.config.compression).parquet(self._log(table))
+    def _bucket(self) -> Column:
+        return F.floor(F.col("transaction_id") / self.config.log_bucket).alias("bucket")
+
+    def append(self, table: str, ops: DataFrame, attempt: str | None = None) -> None:
+        """ops: (transaction_id, sequence, op, key, data), whole transactions with their markers.
+
+        With an attempt, part of transactions whose markers mark() writes once all parts are there.
+        """
+        rows = ops if attempt else ops.where(~F.col("op").isin("commit", "rollback"))
+        own = attempt or uuid.uuid4().hex
+        added = rows.withColumns({"attempt": F.lit(own), "timestamp": F.col("timestamp") if "timestamp" in ops.columns else micros()})
+        sealed = added.withColumn("checksum", entry_checksum(added)).select("*", self._bucket())
+        if not self.files.exists(f"{self._log(table)}/_schema.json"):
+            self.files.write(f"{self._log(table)}/_schema.json", sealed.schema.json())
+        # a bucket's rows come to few tasks, so that they are in few files whatever the number of tasks
+        (sealed.coalesce(1) if attempt else sealed.hint("rebalance", "bucket")).write.mode("append").partitionBy("bucket").option("compression", self.config.compression).parquet(self._log(table))
+        if not attempt:
+            marks = ops.where(F.col("op").isin("commit", "rollback")).select("transaction_id", "op", F.lit(own).alias("attempt"), micros().alias("timestamp"), self._bucket())
+            marks.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").json(f"{self.root}/marks")
+
+    def mark(self, version: int, attempt: str, op: str = "commit") -> None:
+        """Ends a transaction that append() wrote in parts: one file, so it's there or it isn't."""
+        row = {"transaction_id": version, "op": op, "attempt": attempt, "timestamp": time.time_ns() // 1000}
+        self.files.write(f"{self.root}/marks/bucket={version // self.config.log_bucket}/{version}-{attempt}.json", json.dumps(row) + "\n")
+
+    def _since(self, df: DataFrame, since: int, until: int | None) -> DataFrame:
+        df = df.where(F.col("bucket") >= (since + 1) // self.config.log_bucket).where(F.col("transaction_id") > since)
+        return df if until is None else df.where(F.col("bucket") <= until // self.config.log_bucket).where(F.col("transaction_id") <= until)
+
+    def entries(self, table: str, since: int = -1, until: int | None = None) -> DataFrame | None:
+        """All that was written for the table, with attempt, timestamp and checksum; only the buckets asked for are read."""
+        if not self.files.exists(f"{self._log(table)}/_schema.json"):
+            return None
+        schema = T.StructType.fromJson(json.loads(self.files.read(f"{self._log(table)}/_schema.json")))
+        return self._since(self.spark.read.schema(schema).parquet(self._log(table)), since, until)
 
     def log(self, table: str, since: int = -1, until: int | None = None) -> DataFrame | None:
-        """Entries of transactions after `since`; only their buckets are read."""
-        if not self.files.exists(self._log(table)):
+        """Ops of transactions after `since`, without markers, finished or not."""
+        own = self.entries(table, since, until)
+        return None if own is None else own.drop(*KEPT)
+
+    def finished(self, since: int = -1, until: int | None = None) -> DataFrame:
+        """(transaction_id, attempt) of transactions with a commit marker and no rollback marker."""
+        if not self.files.exists(f"{self.root}/marks"):
+            return self.spark.createDataFrame([], "transaction_id bigint, attempt string")
+        marks = self._since(self.spark.read.schema(MARKS).json(f"{self.root}/marks"), since, until)
+        return marks.groupBy("transaction_id", "attempt").agg(F.bool_and(F.col("op") == "commit").alias("ok")).where("ok").drop("ok")
+
+    def committed(self, table: str, since: int = -1, until: int | None = None, finished: DataFrame | None = None) -> DataFrame | None:
+        """The table's ops in finished transactions; one that isn't as it was written fails the job that reads it."""
+        own = self.entries(table, since, until)
+        if own is None:
             return None
-        df = self.spark.read.parquet(self._log(table)).where(F.col("bucket") >= (since + 1) // self.config.log_bucket).where(F.col("transaction_id") > since)
-        if until is not None:
-            df = df.where(F.col("bucket") <= until // self.config.log_bucket).where(F.col("transaction_id") <= until)
-        return df.drop("bucket")
+        own = own.join(self.finished(since, until) if finished is None else finished, ["transaction_id", "attempt"], "left_semi")
+        text = F.concat(F.lit(f"CORRUPT_LOG: {table}, transaction "), F.col("transaction_id").cast("string"), F.lit(", entry "), F.col("sequence").cast("string"))
+        return own.where(F.when(F.col("checksum").eqNullSafe(entry_checksum(own.drop("checksum", "bucket"))), True).otherwise(F.raise_error(text).cast("boolean"))).drop(*KEPT)
+
+    def tampered(self, table: str) -> DataFrame | None:
+        """Entries that aren't as they were written."""
+        own = self.entries(table)
+        return None if own is None else own.where(~F.col("checksum").eqNullSafe(entry_checksum(own.drop("checksum", "bucket"))))
 
     def logged_tables(self) -> list[str]:
         return [n for n in self.files.names(f"{self.root}/{self.config.log_dir}") if not n.startswith(("_", "."))]
 
+    # entities
+
+    def log_entities(self, ops: Iterable[tuple[int, str, int]]) -> None:
+        """(seq, op, entity), as one file, which is there or isn't."""
+        ops, now = list(ops), time.time_ns() // 1000
+        lines = [json.dumps({"seq": s, "op": op, "entity_id": i, "timestamp": now, "checksum": zlib.crc32(f"{s}|{op}|{i}|{now}".encode())}) for s, op, i in ops]
+        if lines:
+            self.files.write(f"{self.root}/entities/{ops[0][0]:016d}-{ops[-1][0]:016d}-{uuid.uuid4().hex}.json", "\n".join(lines) + "\n")
+
+    def entity_log(self, since: int = 0) -> DataFrame:
+        """registry.OPS from number `since` on; an entry that isn't as it was written fails the job that reads it."""
+        names = [n for n in self.files.names(f"{self.root}/entities") if n.endswith(".json") and int(n.split("-")[1]) >= since]
+        if not names:
+            return self.spark.createDataFrame([], registry.OPS)
+        own = self.spark.read.schema(registry.OPS + ", checksum bigint").json([f"{self.root}/entities/{n}" for n in names]).where(F.col("seq") >= since)
+        text = F.concat(F.lit("CORRUPT_LOG: entities, entry "), F.col("seq").cast("string"))
+        return own.where(F.when(F.col("checksum").eqNullSafe(F.crc32(F.concat_ws("|", "seq", "op", "entity_id", "timestamp").cast("binary"))), True).otherwise(F.raise_error(text).cast("boolean"))).drop("checksum")
+
+    def entities(self, until: int | None = None) -> registry.Registry | None:
+        """The registry after the newest snapshot's and the log's ops; None if the store has none."""
+        have = [v for v in self.versions() if until is None or v <= until]
+        about = self.manifest(have[-1]) if have else {}
+        seq, created = about.get("seq", 0), about.get("created", 0)
+        base = self._table(have[-1], REGISTRY, about[REGISTRY], True) if REGISTRY in about else None
+        ops = self.entity_log(seq)
+        new = ops.agg(F.max("seq").alias("top"), F.count_if(F.col("op") == "create_entity").alias("created")).first()
+        if base is None and new["top"] is None:
+            return None
+        whole = registry.fold(base if base is not None else self.spark.createDataFrame([], registry.ENTITIES), ops)
+        return registry.Registry(self.spark, whole, max(seq, (new["top"] if new["top"] is not None else -1) + 1), created + new["created"])
+
     # recovery and compaction
 
     def recover(self, key: str = "entity_id", until: int | None = None) -> tuple[int, dict[str, DataFrame]]:
         """The newest snapshot with the log's later committed transactions on top; unfinished ones are left out."""
         have = [v for v in self.versions() if until is None or v <= until]
         version, tables = self.read(have[-1]) if have else (0, {})
-        last = version
+        finished = self.finished(version, until)
+        last = max(version, finished.agg(F.max("transaction_id")).first()[0] or 0)
         for name in self.logged_tables():
-            log = self.log(name, version, until)
-            if log is None:
+            ops = self.committed(name, version, until, finished)
+            if ops is None:
                 continue
-            top = log.where("op = 'commit'").agg(F.max("transaction_id")).first()[0]
-            last = max(last, top or 0)
             if name not in tables:
-                data = log.schema["data"].dataType
-                tables[name] = self.spark.createDataFrame([], T.StructType([log.schema[key], *data.fields]))  # type: ignore[attr-defined]
-            tables[name] = replay(tables[name], log, key, version)
+                data = ops.schema["data"].dataType
+                tables[name] = self.spark.createDataFrame([], T.StructType([ops.schema[key], *data.fields]))  # type: ignore[attr-defined]
+            tables[name] = fold(tables[name], ops.withColumnsRenamed({"transaction_id": "version", "sequence": "seq"}), key)
         return last, tables
 
     def compact(self, key: str = "entity_id", archive: bool = False) -> int:
         """A snapshot of the recovered state; older ones go, and the log's buckets that it covers whole."""
         version, tables = self.recover(key)
         if version not in self.versions():
-            self.write(tables, version, key)
-        for v in self.versions()[:-1]:
+            self.write(tables, version, key, self.entities())
+        gone = [(self._snapshot(v), f"v={v:012d}") for v in self.versions()[:-1]]
+        logs = {f"log/{name}": self._log(name) for name in self.logged_tables()} | {"marks": f"{self.root}/marks"}
+        for to, at in logs.items():
+            gone += [(f"{at}/{b}", f"{to}/{b}") for b in self.files.names(at) if b.startswith("bucket=") and (int(b[7:]) + 1) * self.config.log_bucket <= version + 1]
+        seq = self.manifest(version).get("seq", 0)
+        gone += [(f"{self.root}/entities/{n}", f"entities/{n}") for n in self.files.names(f"{self.root}/entities") if n.endswith(".json") and int(n.split("-")[1]) < seq]
+        for at, to in gone:
             if archive:
-                self.files.move(self._snapshot(v), f"{self.root}/{self.config.archive_dir}/v={v:012d}")
+                self.files.move(at, f"{self.root}/{self.config.archive_dir}/{to}")
             else:
-                self.files.delete(self._snapshot(v))
-        for name in self.logged_tables():
-            for bucket in self.files.names(self._log(name)):
-                if bucket.startswith("bucket=") and (int(bucket[7:]) + 1) * self.config.log_bucket <= version + 1:
-                    if archive:
-                        self.files.move(f"{self._log(name)}/{bucket}", f"{self.root}/{self.config.archive_dir}/log/{name}/{bucket}")
-                    else:
-                        self.files.delete(f"{self._log(name)}/{bucket}")
+                self.files.delete(at)
         return version
 
     # the version that readers see
