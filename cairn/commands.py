@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+from collections import deque
 from collections.abc import Callable
 from typing import Any
 
@@ -26,7 +28,8 @@ class Commands:
         self.running: StreamingQuery | None = None
         self.folder: str | None = None
         self.published = 0
-        self.conflicts: DataFrame | None = None
+        self.conflicts: deque[dict] = deque(maxlen=config.conflict_ring)  # by arrival; no more than the ring leaves Spark
+        self.arrived = 0
 
     def _db(self) -> Database:
         if self.db is None:
@@ -72,20 +75,19 @@ class Commands:
         return self._db().commit()
 
     def start_replication(self, send: Callable[[DataFrame, int], None]) -> None:
-        """From now on commits go to a feed folder, and a stream sends each client its part, a tick at a time."""
+        """From now on commits go to a feed folder, and a stream sends each client its part, a tick at a time; what was before comes with a full sync."""
         if self.running:
             return
         self.folder = self.folder or f"{scratch(self.spark)}/replication-{id(self)}"
         if self._append not in self._db().on_commit:
             self._db().on_commit.append(self._append)
             self._append(self.spark.createDataFrame([], stream.FEED))  # the folder is there before the stream
+            self.published = self._db().version
 
-        def sent(batch: DataFrame, number: int) -> None:
-            send(batch, number)
-            top = batch.agg(F.max("version")).first()[0]
-            self.published = max(self.published, top or 0)
+        def seen(version: int) -> None:
+            self.published = max(self.published, version)
 
-        self.running = stream.publish(stream.read(self.spark, f"{self.folder}/feed"), self.clients.frame, sent, f"{self.folder}/checkpoint", self.config.tick_ms)
+        self.running = stream.publish(stream.read(self.spark, f"{self.folder}/feed"), self.clients.frame, send, f"{self.folder}/checkpoint", self.config.tick_ms, seen)
 
     def _append(self, delta: DataFrame) -> None:
         stream.append(delta.withColumn("data", F.col("new")).select("version", "seq", "op", "table_id", "entity_id", "data") if "new" in delta.columns else delta, f"{self.folder}/feed")
@@ -102,18 +104,30 @@ class Commands:
         return [r.asDict() for r in self.clients.frame().collect()]
 
     def get_pending_delta_count(self) -> int:
-        """Commits that haven't been sent."""
+        """Commits that haven't been sent, whether or not a client hears them."""
         return self._db().version - self.published
 
-    def merge(self, ops: DataFrame, server: DataFrame, strategy: conflict.Strategy = "server") -> DataFrame:
-        """A client's ops to apply; conflicts are remembered for get_conflict_log."""
+    def merge(self, ops: DataFrame, server: DataFrame, strategy: conflict.Strategy = "server", client_version: int = 0) -> DataFrame:
+        """A client's ops to apply, in order of their column seq if they have one; conflicts are remembered for get_conflict_log."""
         found = conflict.detected(ops, server)
-        seen = found.where("conflict").select("table_id", "entity_id", "op", F.to_json("current").alias("current"), F.to_json("new").alias("new"), "conflict")
-        self.conflicts = seen if self.conflicts is None else self.conflicts.unionByName(seen)
+        order = ["seq"] if "seq" in ops.columns else ["table_id", "entity_id"]
+        seen = found.where("conflict").select("table_id", "entity_id", "op", F.to_json("current").alias("current"), F.to_json("new").alias("new"), "conflict", *([] if order[0] == "table_id" else order))
+        last = conflict.log(seen, self._db().dimension(), self.config.conflict_ring, tuple(order), tuple(c for c in order if c == "seq"))
+        rows = sorted((r.asDict() for r in last.collect()), key=lambda r: tuple(r[c] for c in order))
+        about = {"field": None, "server_version": self._db().version, "client_version": client_version, "timestamp": time.time_ns() // 1000}
+        for r in rows:
+            r.pop("seq", None)
+            self.conflicts.append(r | {"number": self.arrived} | about)
+            self.arrived += 1
         return conflict.resolved(found, strategy)
 
-    def get_conflict_log(self, n: int | None = None) -> list[dict]:
-        return [] if self.conflicts is None else [r.asDict() for r in conflict.log(self.conflicts, self._db().dimension(), n or self.config.conflict_ring).collect()]
+    def get_conflict_log(self, n: int | None = None, whole: bool = False) -> list[dict]:
+        """The last conflicts, newest first; whole: with number of arrival, versions and time."""
+        rows = list(self.conflicts)[::-1][: n or self.config.conflict_ring]
+        return rows if whole else [{k: r[k] for k in ("table_name", "table_id", "entity_id", "op", "server_value", "client_value")} for r in rows]
+
+    def compact_database(self, threshold: float | None = None) -> list[str]:
+        return self._db().compact_if_fragmented(self.config.compact_ratio if threshold is None else threshold)
 
     def get_delta_log(self, n: int | None = None) -> list[dict]:
         return [r.asDict() for r in self._db().delta_log(n or self.config.delta_ring).collect()]

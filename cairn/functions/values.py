@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +61,7 @@ COMPRESSED, HEARTBEAT, SNAPSHOT, DELTA = 1, 2, 4, 8
 def encode_frame(payload: bytes, flags: int = DELTA) -> bytes:
     """Magic, version, flags, big-endian length, payload, CRC32 of the payload as written."""
     if flags & COMPRESSED:
-        payload = zlib.compress(payload, 3)
+        payload = zstandard.compress(payload, 3)
     return MAGIC + struct.pack(">BBI", FRAME_VERSION, flags, len(payload)) + payload + struct.pack(">I", zlib.crc32(payload))
 
 
@@ -76,4 +77,4 @@ def decode_frame(frame: bytes) -> tuple[bytes, int]:
     payload = frame[10 : 10 + n]
     if struct.unpack(">I", frame[10 + n :])[0] != zlib.crc32(payload):
         raise ValueError("frame checksum doesn't match")
-    return (zlib.decompress(payload) if flags & COMPRESSED else payload), flags
+    return (zstandard.decompress(payload) if flags & COMPRESSED else payload), flags

@@ -52,13 +52,27 @@ def resolved(found: DataFrame, strategy: Strategy = "server", merge: Callable[[C
     return found.select("table_id", "entity_id", op.alias("op"), F.when(c, F.col("current")).otherwise(F.col("old")).alias("old"), new.alias("new"), "conflict")
 
 
-def header(server_version: int, server_ts: Column, client_ts: Column) -> tuple[Column, Column]:
+def header(server_version: Column, server_ts: Column, client_ts: Column) -> tuple[Column, Column]:
     """(version, timestamp) of the resolved delta."""
-    return F.lit(server_version + 1), F.greatest(server_ts, client_ts)
+    return server_version + 1, F.greatest(server_ts, client_ts)
 
 
-def log(found: DataFrame, tables: DataFrame, n: int = 1000) -> DataFrame:
-    """The last n conflicts with their table's name, or its id as text."""
-    hit = found.where("conflict").join(F.broadcast(tables), "table_id", "left")
-    named = hit.select(F.coalesce("table_name", F.col("table_id").cast("string")).alias("table_name"), "table_id", "entity_id", "op", F.col("current").alias("server_value"), F.col("new").alias("client_value"))
-    return ring(named, n, "entity_id", "table_id")
+def stamped(merged: DataFrame, server_version: str = "server_version", server_time: str = "server_time", client_time: str = "client_time") -> DataFrame:
+    """Resolved ops with the version and timestamp of their delta."""
+    version, at = header(F.col(server_version), F.col(server_time), F.col(client_time))
+    return merged.withColumns({"version": version, "timestamp": at})
+
+
+def fields(found: DataFrame, *names: str) -> DataFrame:
+    """(table_id, entity_id, field, server_value, client_value) of the fields of conflicting writes in which server and client differ."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"current.{n}").cast("string").alias("server_value"), F.col(f"new.{n}").cast("string").alias("client_value")) for n in names))
+    differing = F.filter(pairs, lambda x: ~x["server_value"].eqNullSafe(x["client_value"]))
+    return found.where(F.col("conflict") & F.col("new").isNotNull()).select("table_id", "entity_id", F.explode(differing).alias("x")).select("table_id", "entity_id", "x.*")
+
+
+def log(found: DataFrame, tables: DataFrame, n: int = 1000, arrival: tuple[str, ...] = ("entity_id", "table_id"), more: tuple[str, ...] = ()) -> DataFrame:
+    """The last n conflicts by arrival, the columns that number them, with their table's name, or its id as text, and the columns `more`."""
+    hit = ring(found.where("conflict"), n, *arrival).join(tables, "table_id", "left")
+    return hit.select(
+        F.coalesce("table_name", F.col("table_id").cast("string")).alias("table_name"), "table_id", "entity_id", "op", F.col("current").alias("server_value"), F.col("new").alias("client_value"), *more
+    )

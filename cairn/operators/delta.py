@@ -57,9 +57,12 @@ def between(feed: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def subscribed(feed: DataFrame, clients: DataFrame) -> DataFrame:
-    """Each client's part of the feed: versions after its own, tables it subscribed to or all if it named none."""
-    hears = (F.size("subscribed_tables") == 0) | F.array_contains("subscribed_tables", feed["table_id"])
-    return feed.join(F.broadcast(clients), (feed["version"] > clients["client_version"]) & hears)
+    """Each client's part of the feed: versions after its own, tables it subscribed to or all if it named none; ops without a table are heard by all.
+
+    Sessions are bounded by the manager's `most`.  The join has no key, so Spark broadcasts them while they are under its threshold, and else takes their product.
+    """
+    hears = (F.size("subscribed_tables") == 0) | feed["table_id"].isNull() | F.array_contains("subscribed_tables", feed["table_id"])
+    return feed.join(clients, (feed["version"] > clients["client_version"]) & hears)
 
 
 def lag(feed: DataFrame, clients: DataFrame) -> DataFrame:

@@ -436,11 +436,6 @@ def json_encode(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "supplier").select("s_suppkey", encode(["s_name", "s_nationkey"]).alias("json"))
 
 
-@query(None)
-def crc32_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "customer").select("c_custkey", values.checksum(F.col("c_name")).alias("crc"))
-
-
 GAME = """
 [database]
 name = "game"
@@ -497,19 +492,20 @@ def log_compact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_APPLIED)
 def stream_replica(spark: SparkSession, sf: str) -> DataFrame:
-    folder, name = f"{scratch(spark)}/{uuid.uuid4().hex}", f"replica_{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
     stream.append(event_ops(spark, sf).withColumn("data", F.to_json("data")).select("version", "seq", "op", "table_id", "entity_id", "data"), f"{folder}/feed")
-    stream.to_memory(stream.replica(stream.read(spark, f"{folder}/feed")), name, "update", f"{folder}/checkpoint")
-    return stream.settled(spark.table(name)).where("table_id = 1").select("entity_id", F.get_json_object("data", "$.value").cast("double").alias("value"))
+    replica = stream.Replica(spark, f"{folder}/replica")
+    replica.follow(stream.read(spark, f"{folder}/feed")).awaitTermination()
+    return replica.table(1).select("entity_id", F.get_json_object("data", "$.value").cast("double").alias("value"))
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events FROM events GROUP BY ALL")
 def stream_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    folder, name = f"{scratch(spark)}/{uuid.uuid4().hex}", f"windows_{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
     events = read(spark, sf, "events").select("ts", "event_type")
     stream.append(events, f"{folder}/events")
-    stream.to_memory(stream.windowed(stream.read(spark, f"{folder}/events", events.schema), "ts", "1 day", "event_type"), name, "complete", f"{folder}/checkpoint")
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    stream.to_folder(stream.windowed(stream.read(spark, f"{folder}/events", events.schema), "ts", "1 day", "event_type"), f"{folder}/counts", "complete", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/counts").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 # what Spark adds: aggregation, windows, sets, top-k

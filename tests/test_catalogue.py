@@ -3,7 +3,7 @@ from __future__ import annotations
 import compare
 import pytest
 
-from cairn.plans import catalogue
+from cairn.plans import catalogue, sessions  # noqa: F401  sessions adds queries
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
