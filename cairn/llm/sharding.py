@@ -12,7 +12,8 @@ documents may ask, by a hash that differs from round to round, so that neighbour
 Quotas bound what moves: as many documents go from shard s to t as come from t to s, best gain first, and beyond that a share, in proportion to
 what is asked for, of the room that t has up to documents / shards * (1 + slack) and of what s can spare down to documents / shards *
 (1 - slack).  Sizes so stay between these two in every round.  The rounds end when three in turn lower the cut weight by less than
-`least_progress`, and the best assignment seen is returned.
+`least_progress`, and the best assignment seen is returned.  Links stay where they are through all rounds, by their second document; a round shuffles shards
+and one message a link, the driver sees at most shards ** 2 counts.
 
 Words are what white space and controls separate.  Text without any is linked by its lines alone.
 
@@ -23,11 +24,13 @@ the lower hash of the id.  With fewer documents than shards some are empty.  An
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,14 +44,14 @@ class Params:
     least_chars: int = 40
     gram: int = 8  # words of a passage that isn't a line
     window: int = 8  # of these, one is taken; at most gram, so that none reaches into the next text
-    rounds: int = 14
+    rounds: int | None = None  # at most; by default progress alone ends them
     part: int = 10_000  # documents of a passage in one part
     least_progress: float = 0.01  # of the cut weight
     seed: int = 9
 
 
 def line_keys(own: np.ndarray, offsets: np.ndarray, least_chars: int) -> np.ndarray:
-    """A key of each line's bytes; 0 for lines of fewer characters."""
+    """A key of each line's bytes, of 32 bits; 0 for lines of fewer characters."""
     seen = np.append(0, np.cumsum((own & 0xC0) != 0x80))
     ends = offsets[1:].copy()
     ends[(ends > offsets[:-1]) & (own[ends - 1] == 10)] -= 1
@@ -56,12 +59,12 @@ def line_keys(own: np.ndarray, offsets: np.ndarray, least_chars: int) -> np.ndar
     raw = memoryview(own)
     for i in np.flatnonzero(seen[ends] - seen[offsets[:-1]] >= least_chars).tolist():
         a, b = int(offsets[i]), int(ends[i])
-        out[i] = (b - a << 32 | zlib.crc32(raw[a:b])) & 0x7FFFFFFFFFFFFFFF
+        out[i] = max(1, zlib.crc32(raw[a:b], b - a))
     return out
 
 
 def winnowed(data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(value's index, hash of its words, key of the long line that holds them all or 0), each once, in order of the values."""
+    """(value's index, hash of its words, key of the long line that holds them all, 0 if none or several), each hash once, in order of the values."""
     none = np.zeros(0, np.int64)
     lo, hi = int(offsets[0]), int(offsets[-1])
     own = np.ascontiguousarray(data[lo:hi])
@@ -92,8 +95,10 @@ def winnowed(data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarr
     of, hashes = doc[at], g[at].view(np.int64)
     order = np.lexsort((key, hashes, of))
     of, hashes, key = of[order], hashes[order], key[order]
-    new = np.append(True, (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1]) | (key[1:] != key[:-1]))[: len(of)]
-    return of[new], hashes[new], key[new]
+    new = np.append(True, (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1]))[: len(of)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(of))[: len(first)] - 1
+    return of[first], hashes[first], np.where(key[first] == key[last], key[first], 0)
 
 
 def grams(p: Params):  # noqa: ANN201
@@ -106,34 +111,47 @@ def grams(p: Params):  # noqa: ANN201
             hashes.append(h)
             keys.append(k)
         ends = np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32)
-        values = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(keys))], ["passage", "line"])
+        line = np.concatenate(keys).astype(np.uint32).view(np.int32)
+        values = pa.StructArray.from_arrays([pa.array(np.concatenate(hashes)), pa.array(line)], ["passage", "line"])
         return pa.ListArray.from_arrays(pa.array(ends), values)
 
-    return F.arrow_udf(one, "array<struct<passage:bigint,line:bigint>>")
+    return F.arrow_udf(one, "array<struct<passage:bigint,line:int>>")
 
 
-def shared_grams(own: DataFrame, p: Params) -> DataFrame:
-    """(doc_id, passage, more) of words in a row that several documents hold, not all of them within the same line."""
-    every = own.select("doc_id", F.explode(grams(p)("t")).alias("g")).select("doc_id", "g.*")
-    of = Window.partitionBy("passage")
-    bounds = {f"{side}_{c}": f(c).over(of) for c in ("doc_id", "line") for side, f in (("least", F.min), ("most", F.max))}
-    held = every.withColumns(bounds).where("least_doc_id <> most_doc_id and (least_line <> most_line or least_line = 0)")
-    return held.select("doc_id", "passage", F.lit(0).alias("more"))
+def passages(docs: DataFrame, p: Params, text: str = "text") -> DataFrame:
+    """(doc_id, passage, more, line), each once: of long lines two hashes and 0, of words in a row their hash, 0 and the key of the line that they stand in."""
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t")).where("doc_id is not null")
+    zero = F.lit(0)
+    long_lines = F.array_distinct(F.filter(F.split("t", "\n"), lambda x: F.length(x) >= p.least_chars))
+    lines = F.transform(long_lines, lambda x: F.struct(F.xxhash64(x, F.lit(p.seed)).alias("passage"), F.hash(x).alias("more"), zero.alias("line")))
+    runs = F.transform(grams(p)("t"), lambda x: F.struct(x["passage"], zero.alias("more"), x["line"]))
+    every = own.select("doc_id", F.explode(F.concat(F.coalesce(lines, F.array().cast("array<struct<passage:bigint,more:int,line:int>>")), runs)).alias("g")).select("doc_id", "g.*")
+    repeated = checkpointed(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return every
+    some = every.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "passage", "more").agg(F.when(F.min("line") == F.max("line"), F.min("line")).otherwise(0).alias("line"))
+    return every.join(repeated, "doc_id", "left_anti").unionByName(some)
 
 
 def links(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
-    """(a, b, weight), both ways."""
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t")).where("doc_id is not null")
-    lines = own.select("doc_id", F.explode(F.filter(F.split("t", "\n"), lambda x: F.length(x) >= p.least_chars)).alias("line"))
-    whole = lines.select("doc_id", F.xxhash64("line", F.lit(p.seed)).alias("passage"), F.hash("line").alias("more"))
-    holds = whole.unionByName(shared_grams(own, p)).distinct()
-    stats = holds.groupBy("passage", "more").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    # a passage that very many hold is cut into parts, so that no task has all of them
-    held = holds.join(stats, ["passage", "more"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / p.part)))
+    """(a, b, weight), both ways.
+
+    Passages are shuffled once, with their documents; which are shared is known from an aggregate over them where they lie, and that is the built side
+    of a hash join with them, so only shared ones are sorted.  Those that very many documents hold are shuffled again, in parts.
+    """
+    holds = passages(docs, p, text).repartition("passage")
+    seen = holds.groupBy("passage", "more").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high")).where("n > 1")
+    # the same as (low <> high or low = 0), but so that both sides of the join read the same columns of one shuffle
+    held = holds.join(seen.hint("shuffle_hash"), ["passage", "more"]).where("low <> high or line = 0").select("doc_id", "passage", "more", "n", "first")
     of = Window.partitionBy("passage", "more", "part").orderBy("doc_id")
-    ranked = held.withColumns({"before": F.lag("doc_id").over(of), "leader": F.first("doc_id").over(of)})
+
+    def ranked(some: DataFrame) -> DataFrame:
+        return some.withColumns({"before": F.lag("doc_id").over(of), "leader": F.first("doc_id").over(of)})
+
+    few = ranked(held.where(F.col("n") <= p.part).withColumn("part", F.lit(0).cast("long")))
+    many = ranked(held.where(F.col("n") > p.part).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / p.part))).repartition("passage", "more", "part"))
     others = F.array("before", "leader", F.when(F.col("doc_id") == F.col("leader"), F.col("first")))
-    one_way = ranked.select(F.col("doc_id").alias("b"), F.explode(F.array_distinct(others)).alias("a"), (1 / (F.col("n") - 1)).alias("w"))
+    one_way = few.unionByName(many).select(F.col("doc_id").alias("b"), F.explode(F.array_distinct(others)).alias("a"), (1 / (F.col("n") - 1)).alias("w"))
     summed = one_way.where("a is not null and a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("weight"))
     return summed.unionByName(summed.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
 
@@ -162,45 +180,61 @@ def quotas(asked: dict[tuple[int, int], int], sizes: dict[int, int], least: int,
     return {k: even[k] + more[k] for k in asked}
 
 
+def heard(edges: DataFrame, moving: DataFrame) -> DataFrame:
+    """Of each document (a, own, to, gain, cut): its shard, the one of most weight, what that has more, and the weight in others.
+
+    edges lie by b: each tells its a the shard of its b, and these messages are all that is shuffled of them.
+    """
+    parts = edges.rdd.getNumPartitions()
+    said = edges.join(moving.select(F.col("doc_id").alias("b"), "shard"), "b").select("a", "shard", "weight").repartition(parts, "a")
+    by_shard = said.groupBy("a", "shard").agg(F.round(F.sum("weight"), 9).alias("w"))  # so that the order of a sum doesn't decide ties
+    known = by_shard.join(moving.select(F.col("doc_id").alias("a"), F.col("shard").alias("own")), "a")
+    seen = known.groupBy("a", "own").agg(
+        F.max(F.struct("w", (-F.col("shard")).alias("less"))).alias("top"),
+        F.sum("w").alias("every"),
+        F.coalesce(F.sum(F.when(F.col("shard") == F.col("own"), F.col("w"))), F.lit(0.0)).alias("mine"),
+    )
+    return seen.select("a", "own", (-F.col("top.less")).cast("int").alias("to"), (F.col("top.w") - F.col("mine")).alias("gain"), (F.col("every") - F.col("mine")).alias("cut"))
+
+
 def shards(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """doc_id and shard, a row for each document."""
     spark = tuned(docs.sparkSession)
+    tables = Written(spark)
     now = checkpointed(first_shards(docs, p))
-    edges = checkpointed(links(docs, p, text))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # by b, and kept so on the executors' disks; what is lost with one is read again from the table
+    edges = tables.write(links(docs, p, text), "edges").repartition(parts, "b").persist(StorageLevel.DISK_ONLY)
     total = now.count()
     least, most = int(total * (1 - p.slack) / p.shards), max(int(total * (1 + p.slack) / p.shards), -(-total // p.shards))
     # linked documents alone move; for the others the rounds are of no account
-    moving = checkpointed(now.join(edges.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    moving = checkpointed(now.join(edges.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     resting = now.join(moving.select("doc_id"), "doc_id", "left_anti")
     fixed = {r["shard"]: r["n"] for r in resting.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    tables = Written(spark)
     best, best_cut, stale = moving, None, 0
-    for turn in range(p.rounds + 1):
-        said = edges.join(moving.select(F.col("doc_id").alias("b"), "shard"), "b").groupBy("a", "shard").agg(F.sum("weight").alias("w"))
-        heard = said.join(moving.select(F.col("doc_id").alias("a"), F.col("shard").alias("own")), "a")
-        # the shard of most weight, and the weight in the document's own
-        seen = heard.groupBy("a", "own").agg(
-            F.max(F.struct("w", (-F.col("shard")).alias("less"))).alias("top"),
-            F.sum("w").alias("every"),
-            F.coalesce(F.sum(F.when(F.col("shard") == F.col("own"), F.col("w"))), F.lit(0.0)).alias("mine"),
-        )
-        state = tables.write(seen.select("a", "own", (-F.col("top.less")).cast("int").alias("to"), (F.col("top.w") - F.col("mine")).alias("gain"), (F.col("every") - F.col("mine")).alias("cut")), f"state-{turn}")
-        cut = state.agg(F.sum("cut")).first()[0] or 0.0
+    name = best_name = ""  # of the table of moving, and of best
+    for turn in itertools.count():
+        state = tables.write(heard(edges, moving), f"state-{turn}")
+        may = (F.col("gain") > 1e-9) & (F.col("to") != F.col("own")) & (F.pmod(F.xxhash64("a", F.lit(p.seed + 1 + turn)), F.lit(2)) == 0)
+        counts = state.groupBy("own", "to").agg(F.count_if(may).alias("asked"), F.count("*").alias("n"), F.sum("cut").alias("cut")).collect()  # at most shards ** 2 rows
+        cut = sum(r["cut"] for r in counts)
         stale = stale + 1 if best_cut is not None and cut > best_cut * (1 - p.least_progress) else 0
         if best_cut is None or cut < best_cut:
-            best, best_cut = moving, cut
+            if best_name not in ("", name):
+                tables.drop(best_name)
+            best, best_name, best_cut = moving, name, cut
         if turn == p.rounds or not cut or stale >= 3:
             break
-        may = state.where("gain > 1e-9 and to <> own").where(F.pmod(F.xxhash64("a", F.lit(p.seed + 1 + turn)), F.lit(2)) == 0)
-        asked = {(r["own"], r["to"]): r["n"] for r in may.groupBy("own", "to").agg(F.count("*").alias("n")).collect()}  # at most shards ** 2 rows
-        sizes = {r["shard"]: r["n"] for r in moving.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        allowed = quotas(asked, {s: sizes.get(s, 0) + fixed.get(s, 0) for s in range(p.shards)}, least, most)
-        if not any(allowed.values()):
-            stale += 1
-            continue
-        quota = spark.createDataFrame([(s, t, n) for (s, t), n in allowed.items()], "own int, to int, quota long")
-        nth = F.row_number().over(Window.partitionBy("own", "to").orderBy(F.desc("gain"), F.xxhash64("a", F.lit(p.seed)), "a"))
-        moved = may.withColumn("nth", nth).join(F.broadcast(quota), ["own", "to"]).where("nth <= quota").select(F.col("a").alias("doc_id"), F.col("to").alias("new"))
-        moving = tables.write(moving.join(moved, "doc_id", "left").select("doc_id", F.coalesce("new", "shard").alias("shard")), f"moving-{turn}")
+        sizes = {s: fixed.get(s, 0) + sum(r["n"] for r in counts if r["own"] == s) for s in range(p.shards)}
+        allowed = quotas({(r["own"], r["to"]): r["asked"] for r in counts if r["asked"]}, sizes, least, most)
+        if any(allowed.values()):  # else another half of the documents may ask in the next round
+            quota = spark.createDataFrame([(s, t, n) for (s, t), n in allowed.items()], "own int, to int, quota long")
+            nth = F.row_number().over(Window.partitionBy("own", "to").orderBy(F.desc("gain"), F.xxhash64("a", F.lit(p.seed)), "a"))
+            moved = state.where(may).withColumn("nth", nth).join(F.broadcast(quota), ["own", "to"]).where("nth <= quota").select("a", F.col("to").alias("new"))
+            moving = tables.write(state.select("a", "own").join(moved, "a", "left").select(F.col("a").alias("doc_id"), F.coalesce("new", "own").alias("shard")), f"moving-{turn}")
+            if name not in ("", best_name):
+                tables.drop(name)
+            name = f"moving-{turn}"
         tables.drop(f"state-{turn}")
+    edges.unpersist()
     return best.unionByName(resting)
