@@ -47,6 +47,7 @@ class Params:
     rounds: int | None = None  # at most; by default progress alone ends them
     part: int = 10_000  # documents of a passage in one part
     least_progress: float = 0.01  # of the cut weight
+    edges_per_task: int = 500_000
     seed: int = 9
 
 
@@ -119,37 +120,34 @@ def grams(p: Params):  # noqa: ANN201
 
 
 def passages(docs: DataFrame, p: Params, text: str = "text") -> DataFrame:
-    """(doc_id, passage, more, line), each once: of long lines two hashes and 0, of words in a row their hash, 0 and the key of the line that they stand in."""
+    """(doc_id, passage, line), each once: of long lines their hash and 0, of words in a row their hash and the key of the line that they stand in."""
     own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t")).where("doc_id is not null")
-    zero = F.lit(0)
     long_lines = F.array_distinct(F.filter(F.split("t", "\n"), lambda x: F.length(x) >= p.least_chars))
-    lines = F.transform(long_lines, lambda x: F.struct(F.xxhash64(x, F.lit(p.seed)).alias("passage"), F.hash(x).alias("more"), zero.alias("line")))
-    runs = F.transform(grams(p)("t"), lambda x: F.struct(x["passage"], zero.alias("more"), x["line"]))
-    every = own.select("doc_id", F.explode(F.concat(F.coalesce(lines, F.array().cast("array<struct<passage:bigint,more:int,line:int>>")), runs)).alias("g")).select("doc_id", "g.*")
+    lines = F.transform(long_lines, lambda x: F.struct(F.xxhash64(x, F.lit(p.seed)).alias("passage"), F.lit(0).alias("line")))
+    both = F.concat(F.coalesce(lines, F.array().cast("array<struct<passage:bigint,line:int>>")), grams(p)("t"))
+    every = own.select("doc_id", F.explode(both).alias("g")).select("doc_id", "g.*")
     repeated = checkpointed(own.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if repeated.isEmpty():
         return every
-    some = every.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "passage", "more").agg(F.when(F.min("line") == F.max("line"), F.min("line")).otherwise(0).alias("line"))
+    some = every.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "passage").agg(F.when(F.min("line") == F.max("line"), F.min("line")).otherwise(0).alias("line"))
     return every.join(repeated, "doc_id", "left_anti").unionByName(some)
 
 
 def links(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """(a, b, weight), both ways.
 
-    Passages are shuffled once, with their documents; which are shared is known from an aggregate over them where they lie, and that is the built side
-    of a hash join with them, so only shared ones are sorted.  Those that very many documents hold are shuffled again, in parts.
+    Passages are shuffled and sorted once, with their documents; only those that very many documents hold are shuffled again, in parts.
     """
     holds = passages(docs, p, text).repartition("passage")
-    seen = holds.groupBy("passage", "more").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high")).where("n > 1")
-    # the same as (low <> high or low = 0), but so that both sides of the join read the same columns of one shuffle
-    held = holds.join(seen.hint("shuffle_hash"), ["passage", "more"]).where("low <> high or line = 0").select("doc_id", "passage", "more", "n", "first")
-    of = Window.partitionBy("passage", "more", "part").orderBy("doc_id")
-
-    def ranked(some: DataFrame) -> DataFrame:
-        return some.withColumns({"before": F.lag("doc_id").over(of), "leader": F.first("doc_id").over(of)})
-
-    few = ranked(held.where(F.col("n") <= p.part).withColumn("part", F.lit(0).cast("long")))
-    many = ranked(held.where(F.col("n") > p.part).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / p.part))).repartition("passage", "more", "part"))
+    of = Window.partitionBy("passage").orderBy("doc_id")
+    whole = of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    about = {"first": F.min("doc_id").over(whole), "n": F.count("*").over(whole), "low": F.min("line").over(whole), "high": F.max("line").over(whole), "before": F.lag("doc_id").over(of)}
+    held = holds.withColumns(about).where("n > 1 and (low <> high or low = 0)").drop("low", "high", "line")
+    shared = Written(docs.sparkSession).write(held, "held")
+    few = shared.where(F.col("n") <= p.part).withColumn("leader", F.col("first"))
+    parted = shared.where(F.col("n") > p.part).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / p.part))).repartition("passage", "part")
+    within = Window.partitionBy("passage", "part").orderBy("doc_id")
+    many = parted.withColumns({"before": F.lag("doc_id").over(within), "leader": F.first("doc_id").over(within)}).drop("part")
     others = F.array("before", "leader", F.when(F.col("doc_id") == F.col("leader"), F.col("first")))
     one_way = few.unionByName(many).select(F.col("doc_id").alias("b"), F.explode(F.array_distinct(others)).alias("a"), (1 / (F.col("n") - 1)).alias("w"))
     summed = one_way.where("a is not null and a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("weight"))
@@ -202,9 +200,10 @@ def shards(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFra
     spark = tuned(docs.sparkSession)
     tables = Written(spark)
     now = checkpointed(first_shards(docs, p))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    linked = tables.write(links(docs, p, text), "edges")
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-linked.count() // p.edges_per_task)))
     # by b, and kept so on the executors' disks; what is lost with one is read again from the table
-    edges = tables.write(links(docs, p, text), "edges").repartition(parts, "b").persist(StorageLevel.DISK_ONLY)
+    edges = linked.repartition(parts, "b").persist(StorageLevel.DISK_ONLY)
     total = now.count()
     least, most = int(total * (1 - p.slack) / p.shards), max(int(total * (1 + p.slack) / p.shards), -(-total // p.shards))
     # linked documents alone move; for the others the rounds are of no account
