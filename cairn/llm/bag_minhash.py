@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, checkpointed, mix, pieces, tuned, utf8, words
+from .common import Written, checkpointed, id_of, mix, pieces, tuned, utf8, words
 
 RESULT = "struct<f1:bigint,f2:bigint,bands:array<bigint>>"
 _LOW = np.arange(256, dtype=np.uint8)
@@ -225,7 +225,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """A row for each document that has an equal or similar one of lesser id in its group: doc_id and keep_id, the group's least id."""
     tuned(docs.sparkSession)
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t")).where("doc_id is not null and t is not null")
+    texts = docs.select(id_of(docs), docs[text].cast("string").alias("t")).where("doc_id is not null and t is not null")
     sketches = checkpointed(texts.select("doc_id", sketched(p)("t").alias("s")).where("s is not null").select("doc_id", "s.*"))
     equal = sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("keep"))
     copies = sketches.select("doc_id", "f1", "f2").join(equal, ["f1", "f2"]).where("doc_id <> keep").select(F.col("doc_id").alias("a"), F.col("keep").alias("b"))

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..shipping import shipped
 from ..sources.files import Files
@@ -77,11 +78,15 @@ def utf8(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8), ends
 
 
+#: Values in a piece: their numbers fit into 16 bits.
+PIECE_VALUES = 1 << 15
+
+
 def pieces(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of values that hold up to `most` bytes, or one longer value."""
+    """Ranges of values that hold up to `most` bytes, or one longer value, and PIECE_VALUES values."""
     at, n = 0, len(offsets) - 1
     while at < n:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        end = min(at + PIECE_VALUES, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
         yield at, min(end, n)
         at = end
 
@@ -152,16 +157,14 @@ def sample_per_class(df: DataFrame, key: str, label: str, per_class: int) -> Dat
     return few.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_class).drop("_n")
 
 
-def free_name(df: DataFrame, stem: str) -> str:
-    """stem, with underscores until no column of df has the name."""
-    have = {c.lower() for c in df.columns}
-    while stem.lower() in have:
-        stem += "_"
-    return stem
+def id_of(df: DataFrame, name: str = "doc_id") -> Column:
+    """The id as the results carry it: numbers as bigint, others as they are."""
+    return (df[name].cast("long") if isinstance(df.schema[name].dataType, T.NumericType) else df[name]).alias(name)
 
 
-def long_id(df: DataFrame, name: str = "doc_id") -> Column:
-    return df[name].cast("long").alias(name)
+def id_type(df: DataFrame, name: str = "doc_id") -> T.DataType:
+    own = df.schema[name].dataType
+    return T.LongType() if isinstance(own, (T.NumericType, T.NullType)) else own
 
 
 def rows_of(df: DataFrame) -> list[Any]:

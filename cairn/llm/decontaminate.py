@@ -1,15 +1,16 @@
 """Benchmark decontamination: BM25 over an inverted index of the test items, searched by block-max WAND.
 
-The items are the indexed side and every passage of every document is a query.  A passage is two half-windows of as many words as the longest
-item has, and the next begins one half-window later, so any stretch that an item could fill lies whole in a passage.  A term's
+The items are the indexed side and every passage of every document is a query.  Items are indexed by classes of length, each twice as long as the one
+before, so that long items change nothing for short ones.  A passage is two half-windows of as many words as the longest item of a class
+has, and the next begins one half-window later, so any stretch that an item could fill lies whole in a passage.  A term's
 impact on an item is its BM25 weight divided by the sum over the item's own terms: the score is the share of the item's weight that
 the passage has, and all items that reach `threshold` are retrieved.
 
 Items stand in blocks; for every term and block the greatest impact is kept.  A passage is given up where its terms' greatest impacts don't
 reach the threshold together, a block where its terms' greatest impacts in the block don't, and what is left is searched with WAND
 pivots over the posting lists.  None of the bounds loses an item.  What is retrieved is then verified: the share of the question's
-n-grams of words, and of the answer's, that stand in the passage.  The answer is an item's last line, else its last sentence; an
-item of one sentence has none.
+n-grams of words, and of the answer's, that stand together in one stretch of the passage, of `spread` times the item's own words and `loose` more.  The answer
+is an item's last line, else its last sentence; an item of one sentence has none.
 
 Defined results: null or wordless texts and items match nothing.  Words are compared without ASCII case and punctuation.  Equal items are all
 reported.  A document that holds an item several times has one row for it, of the best passage, on ties the first.  Rows with the same
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, rows_of, tuned, utf8
+from .common import id_of, pieces, rows_of, tuned, utf8
 
 LEAKS = "array<struct<item_id:bigint,passage:bigint,score:double,question_overlap:double,answer_overlap:double>>"
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -42,9 +43,12 @@ class Params:
     n: int = 3  # words in the verified n-grams
     overlap: float = 0.6  # of question and answer
     question_alone: float = 0.9  # enough without the answer
-    least_words: int = 32  # of a half-window
+    least_words: int = 32  # of a half-window; items of up to twice as many words are the first class
+    spread: float = 1.5  # words of a verified stretch, of the item's
+    loose: int = 8
     blocks: int = 128  # the items' blocks, at most
     items_per_index: int = 50_000  # larger benchmarks are searched in several indexes, one after the other
+    most_bytes: int = 1 << 30  # of the items' text, which the driver holds and every worker gets; more is an error
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -76,38 +80,80 @@ class Index:
     half: int  # words of a half-window
     questions: list[list[int]]
     answers: list[list[int] | None]
+    sizes: list[int]  # words of the items
 
 
 def indexes(items: list[tuple[int | None, str | None]], p: Params = Params()) -> list[Index]:
-    """Document frequencies and lengths are those of all items, whatever the number of indexes."""
+    """An index of each class of length, several of a large class.  Document frequencies and mean length are those of all items."""
     items = sorted(((i, t) for i, t in items if t and tokens(t.encode())), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     words = [tokens(t.encode()) for _, t in items]
     df = Counter(w for own in words for w in set(own))
     mean = sum(map(len, words)) / max(1, len(words))
-    half = max([p.least_words, *map(len, words)])
+    classes: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        classes.setdefault(max(0, (-(-len(w) // (2 * p.least_words)) - 1).bit_length()), []).append(i)
     out = []
-    for at in range(0, len(items), p.items_per_index):
-        some, own = items[at : at + p.items_per_index], words[at : at + p.items_per_index]
-        terms: dict[bytes, int] = {}
-        lists: list[tuple[list[int], list[float]]] = []
-        for i, w in enumerate(own):
-            weight = {t: np.log(1 + (len(items) - df[t] + 0.5) / (df[t] + 0.5)) * n * (p.k1 + 1) / (n + p.k1 * (1 - p.b + p.b * len(w) / mean)) for t, n in Counter(w).items()}
-            total = sum(weight.values())
-            for t, x in weight.items():
-                if (k := terms.setdefault(t, len(terms))) == len(lists):
-                    lists.append(([], []))
-                lists[k][0].append(i)
-                lists[k][1].append(x / total)
-        block = max(2, -(-len(some) // p.blocks))
-        block_best = np.zeros((len(terms), -(-len(some) // block)), np.float32)
-        for k, (docs, impacts) in enumerate(lists):
-            np.maximum.at(block_best[k], np.array(docs) // block, np.array(impacts))
-        number = [tuple([terms[x] for x in tokens(part.encode())] if part is not None else None for part in split_item(t)) for _, t in some]
-        block_best = np.nextafter(block_best, np.float32(2))  # bounds stay bounds in single precision
-        out.append(Index([i for i, _ in some], terms, lists, block_best.max(1), block_best, block, half, [q for q, _ in number], [a for _, a in number]))
+    for _, members in sorted(classes.items()):
+        half = max(p.least_words, *(len(words[i]) for i in members)) if members else p.least_words
+        for at in range(0, len(members), p.items_per_index):
+            own = members[at : at + p.items_per_index]
+            out.append(_index([items[i] for i in own], [words[i] for i in own], df, len(items), mean, half, p))
     return out
 
 
+def _index(some: list[tuple], own: list[list[bytes]], df: Counter, every: int, mean: float, half: int, p: Params) -> Index:
+    terms: dict[bytes, int] = {}
+    lists: list[tuple[list[int], list[float]]] = []
+    for i, w in enumerate(own):
+        weight = {t: np.log(1 + (every - df[t] + 0.5) / (df[t] + 0.5)) * n * (p.k1 + 1) / (n + p.k1 * (1 - p.b + p.b * len(w) / mean)) for t, n in Counter(w).items()}
+        total = sum(weight.values())
+        for t, x in weight.items():
+            if (k := terms.setdefault(t, len(terms))) == len(lists):
+                lists.append(([], []))
+            lists[k][0].append(i)
+            lists[k][1].append(x / total)
+    block = max(2, -(-len(some) // p.blocks))
+    block_best = np.zeros((len(terms), -(-len(some) // block)), np.float32)
+    for k, (docs, impacts) in enumerate(lists):
+        np.maximum.at(block_best[k], np.array(docs) // block, np.array(impacts))
+    number = [tuple([terms[x] for x in tokens(part.encode())] if part is not None else None for part in split_item(t)) for _, t in some]
+    block_best = np.nextafter(block_best, np.float32(2))  # bounds stay bounds in single precision
+    return Index([i for i, _ in some], terms, lists, block_best.max(1), block_best, block, half, [q for q, _ in number], [a for _, a in number], [len(w) for w in own])
+
+
+def together(words: list[int], question: list[int], answer: list[int] | None, size: int, p: Params) -> tuple[float, float | None] | None:
+    """(question's, answer's) overlap in the stretch of `size` words where they are enough, the best such stretch; None if there is none."""
+    weight: list[dict[tuple[int, ...], float]] = []
+    for side in (question, answer):
+        g = grams(side, p.n) if side else []
+        weight.append({x: n / len(g) for x, n in Counter(g).items()})
+    lengths = [min(p.n, len(question)), min(p.n, len(answer)) if answer else 0]
+    hits = []  # (end, start, side, gram)
+    for side in (0, 1):
+        n, own = lengths[side], weight[side]
+        hits += [(i + n, i, side, g) for i in range(len(words) - n + 1) if (g := tuple(words[i : i + n])) in own] if n else []
+    hits.sort(key=lambda x: x[:3])
+    best: tuple[float, float | None] | None = None
+    inside: list[Counter] = [Counter(), Counter()]
+    share = [0.0, 0.0]
+    low = 0
+    queue = sorted(hits, key=lambda x: (x[1], x[0], x[2]))  # by start, as they leave
+    for end, _, side, g in hits:
+        inside[side][g] += 1
+        if inside[side][g] == 1:
+            share[side] += weight[side][g]
+        while queue[low][1] < end - size:
+            _, _, s, x = queue[low]
+            inside[s][x] -= 1
+            if not inside[s][x]:
+                share[s] -= weight[s][x]
+            low += 1
+        q, a = min(1.0, share[0] + 1e-12), min(1.0, share[1] + 1e-12) if answer else None
+        if (q >= p.overlap and (a is None or a >= p.overlap)) or q >= p.question_alone:
+            best = max(best, (q, a), key=lambda x: (x[0], -1.0 if x[1] is None else x[1])) if best else (q, a)
+    return best
+
+
 def wand(ix: Index, query: list[int], threshold: float) -> list[tuple[int, float]]:
     """(item, score) of all items that reach the threshold for the terms of query, by block-max WAND."""
     out = []
@@ -200,21 +246,10 @@ def search(ix: Index, texts: list[list[bytes]], p: Params) -> list[tuple[int, in
             text = int(text_of[h])
             nth = h - int(first_half[text])
             words = ids[text][nth * ix.half : (nth + 2) * ix.half].tolist()
-            have: dict[int, set] = {}
             for item, score in hits:
-                q, a = ix.questions[item], ix.answers[item]
-                parts = []
-                for side in (q, a):
-                    if side is None:
-                        parts.append(None)
-                        continue
-                    n = min(p.n, len(side))
-                    if n not in have:
-                        have[n] = set(grams(words, n))
-                    g = grams(side, p.n)
-                    parts.append(sum(x in have[n] for x in g) / len(g))
-                if parts[0] >= p.overlap and (parts[1] is None or parts[1] >= p.overlap) or parts[0] >= p.question_alone:
-                    out.append((text, item, nth, min(1.0, score), parts[0], parts[1]))
+                found = together(words, ix.questions[item], ix.answers[item], int(ix.sizes[item] * p.spread) + p.loose, p)
+                if found:
+                    out.append((text, item, nth, min(1.0, score), *found))
     return out
 
 
@@ -246,14 +281,18 @@ def leaks(ix: Index, p: Params):  # noqa: ANN201
 
 
 def load(benchmark: DataFrame, p: Params = Params()) -> list[Index]:
-    """Test sets don't grow with the corpus; the index goes to the executors with the query."""
-    return indexes([(r["i"], r["t"]) for r in rows_of(benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")))], p)
+    """Test sets don't grow with the corpus; the index goes to the executors with the query, if the items' text is within `most_bytes`."""
+    own = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t"))
+    size = own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    if size > p.most_bytes:
+        raise ValueError(f"{size} bytes of items; split the benchmark, or raise most_bytes")
+    return indexes([(r["i"], r["t"]) for r in rows_of(own)], p)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """A row for each document and item that it leaks: doc_id, item_id, passage, score, question_overlap, answer_overlap."""
     tuned(docs.sparkSession)
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t"))
+    own = docs.select(id_of(docs), docs[text].cast("string").alias("t"))
     found = [leaks(ix, p)("t") for ix in load(benchmark, p)] or [F.lit(None).cast(LEAKS)]
     every = found[0] if len(found) == 1 else F.flatten(F.array(*found))
     return own.select("doc_id", F.explode(every).alias("x")).select("doc_id", "x.*")

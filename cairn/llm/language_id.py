@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, rows_of, sample_per_class, tuned, utf8
+from .common import id_of, pieces, rows_of, sample_per_class, tuned, utf8
 
 RESULT = "struct<language:string,probability:double,label_counts:array<bigint>,accepted:boolean>"
 
@@ -233,7 +233,7 @@ def languages(docs: DataFrame, p: Params = Params(), m: Model | None = None) ->
     """One row a document: doc_id, language, probability, label_counts, accepted."""
     tuned(docs.sparkSession)
     m = m or fit(docs, p)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), language(docs, m, p).alias("r")).select("doc_id", "r.*")
+    return docs.select(id_of(docs), language(docs, m, p).alias("r")).select("doc_id", "r.*")
 
 
 def keep_known(docs: DataFrame, p: Params = Params(), m: Model | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import id_of, tuned
 
 FINDINGS = "array<struct<start:bigint,kind:string,expression:string,identifiers:array<string>,valid:boolean,allowed:boolean>>"
 
@@ -167,5 +167,5 @@ def found(policy: Policy):  # noqa: ANN201
 def scan(docs: DataFrame, policy: Policy = Policy(), text: str = "text") -> DataFrame:
     """doc_id, findings and whether the policy allows the document, a row for each of docs."""
     tuned(docs.sparkSession)
-    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), found(policy)(docs[text].cast("string")).alias("findings"))
+    out = docs.select(id_of(docs), found(policy)(docs[text].cast("string")).alias("findings"))
     return out.withColumn("allowed", F.forall("findings", lambda x: x["allowed"]))

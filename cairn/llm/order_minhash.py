@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, tuned
+from .common import id_of, mix, tuned
 
 RESULT = "struct<signature:array<bigint>,kmers:bigint>"
 
@@ -135,7 +135,7 @@ def sketches(p: Params):  # noqa: ANN201
 def fingerprints(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """doc_id, signature (m values) and number of k-mers, a row for each of docs."""
     tuned(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), sketches(p)(docs[text].cast("string")).alias("s")).select("doc_id", "s.*")
+    return docs.select(id_of(docs), sketches(p)(docs[text].cast("string")).alias("s")).select("doc_id", "s.*")
 
 
 def similarity(a: str, b: str) -> Column:

@@ -36,7 +36,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces, tuned, utf8
+from .common import checkpointed, id_of, pieces, tuned, utf8
 
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 UNITS = "struct<tokens:array<int>,chars:array<int>,kinds:array<int>>"
@@ -276,7 +276,7 @@ def runs_of(starts: list[tuple[bool, int, int]]):  # noqa: ANN201
 def packed(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """A row for each window: run, window, doc_ids, spans (doc_id, first and end character, tokens), tokens, padding, kind of cut."""
     tuned(docs.sparkSession)
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t")).where(F.length("t") > 0).withColumn("h", F.xxhash64("t"))
+    own = docs.select(id_of(docs), docs[text].cast("string").alias("t")).where(F.length("t") > 0).withColumn("h", F.xxhash64("t"))
     run = runs_of(run_starts(own, p))("doc_id", "h", "at")
     counted = own.select("doc_id", "h", F.monotonically_increasing_id().alias("at"), units(p)("t").alias("u")).select(run.alias("run"), "doc_id", "h", "u.*")
     names = [x.split()[0] for x in ("run", "window", "doc_ids", "spans", "tokens", "padding", "cut")]

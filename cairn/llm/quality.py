@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, rows_of, sample_per_class, tuned, utf8
+from .common import id_of, pieces, rows_of, sample_per_class, tuned, utf8
 
 PAD = 256  # after the end of a text
 
@@ -145,5 +145,5 @@ def qualities(docs: DataFrame, labels: DataFrame, p: Params = Params(), m: Model
     """doc_id, probability of good quality and whether it reaches the threshold (null probabilities do), a row for each of docs."""
     tuned(docs.sparkSession)
     m = m or fit(docs, labels, p, text)
-    out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), score(m, p)(docs[text].cast("string")).alias("probability"))
+    out = docs.select(id_of(docs), score(m, p)(docs[text].cast("string")).alias("probability"))
     return out.withColumn("keep", F.coalesce(F.col("probability") >= p.threshold, F.lit(True)))

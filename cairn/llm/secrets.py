@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, rows_of, tuned, utf8
+from .common import id_of, pieces, rows_of, tuned, utf8
 
 SPANS = "array<struct<start:bigint,length:bigint,ratio:double,secret:string>>"
 _ALPHABET = string.ascii_letters + string.digits + "+/_-"
@@ -217,7 +217,7 @@ def scan(docs: DataFrame, p: Params = Params(), m: Model | None = None, text: st
     """A row for each secret: doc_id, start, length, ratio, secret."""
     tuned(docs.sparkSession)
     m = m or fit(docs, p, text)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.explode(found(m, p)(docs[text].cast("string"))).alias("s")).select("doc_id", "s.*")
+    return docs.select(id_of(docs), F.explode(found(m, p)(docs[text].cast("string"))).alias("s")).select("doc_id", "s.*")
 
 
 def redact(docs: DataFrame, p: Params = Params(), m: Model | None = None, text: str = "text", size: str = "n_chars") -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, checkpointed, mix, pieces, tuned, utf8, words
+from .common import Written, checkpointed, id_of, mix, pieces, tuned, utf8, words
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def grams(p: Params):  # noqa: ANN201
 
 def passages(docs: DataFrame, p: Params, text: str = "text") -> DataFrame:
     """(doc_id, passage, line), each once: of long lines their hash and 0, of words in a row their hash and the key of the line that they stand in."""
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs[text].cast("string").alias("t")).where("doc_id is not null")
+    own = docs.select(id_of(docs), docs[text].cast("string").alias("t")).where("doc_id is not null")
     long_lines = F.array_distinct(F.filter(F.split("t", "\n"), lambda x: F.length(x) >= p.least_chars))
     lines = F.transform(long_lines, lambda x: F.struct(F.xxhash64(x, F.lit(p.seed)).alias("passage"), F.lit(0).alias("line")))
     both = F.concat(F.coalesce(lines, F.array().cast("array<struct<passage:bigint,line:int>>")), grams(p)("t"))
@@ -156,7 +156,7 @@ def links(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFram
 
 def first_shards(docs: DataFrame, p: Params) -> DataFrame:
     """(doc_id, shard): ids in order of a hash, cut into ranges that differ by at most one in size; by histogram, without one global sort."""
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    ids = docs.select(id_of(docs)).where("doc_id is not null").distinct()
     hashed = ids.withColumn("h", F.xxhash64("doc_id", F.lit(p.seed))).withColumn("bucket", F.shiftright("h", 52))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # over 4,096 buckets at most
     sizes = hashed.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))

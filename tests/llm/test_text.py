@@ -421,3 +421,47 @@ def test_licences_of_odd_rows(spark):
     assert [(f.start, f.expression) for f in by[33].findings] == [(2, "MIT")]
     assert by[4].findings == [] and by[4].allowed
     assert N.scan(nasty.empty(spark)).collect() == []
+
+
+# cases of decontamination, packing and near-dedup that sizes or ids must not change
+
+
+def test_a_long_item_changes_nothing_for_short_ones(spark):
+    item = " ".join(f"word{i}" for i in range(12))
+    words = item.split()
+    scattered = " ".join(f"{nasty.prose(60 + k, 190)} {' '.join(words[3 * k : 3 * k + 3])}" for k in range(4))
+    docs = spark.createDataFrame([(1, scattered), (2, f"{nasty.prose(70, 50)} {item} {nasty.prose(71, 50)}")], "doc_id long, text string")
+    long_item = (2, nasty.prose(80, 3000) + ". Answer " + nasty.prose(81, 6) + ".")
+    for items in ([(1, item)], [(1, item), long_item]):
+        found = D.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert [(r.doc_id, r.item_id) for r in found] == [(2, 1)]
+    whole = spark.createDataFrame([(3, f"{nasty.prose(90, 700)} {long_item[1]} {nasty.prose(91, 700)}")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in D.contaminated(whole, spark.createDataFrame([(1, item), long_item], "item_id long, text string")).collect()] == [(3, 2)]
+
+
+def test_short_answers_stand_with_their_question(spark):
+    question = " ".join(f"term{i}" for i in range(20))
+    item = f"{question}\nParis"
+    far = " ".join(question.split()[:14]) + " " + nasty.prose(95, 30) + " Paris"  # of the question enough, the answer elsewhere
+    near = " ".join(question.split()[:14]) + " Paris " + nasty.prose(95, 30)
+    docs = spark.createDataFrame([(1, far), (2, near)], "doc_id long, text string")
+    assert [r.doc_id for r in D.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()] == [2]
+
+
+def test_stretches_equal_plain_ones():
+    r, p = random.Random(8), D.Params(n=2)
+    for _ in range(300):
+        words, q = [r.randint(0, 5) for _ in range(r.randint(1, 30))], [r.randint(0, 5) for _ in range(r.randint(1, 8))]
+        a = [r.randint(0, 5) for _ in range(r.randint(1, 3))] if r.random() < 0.7 else None
+        size = r.randint(2, 15)
+        best = None
+        for at in range(len(words)):
+            own = words[at : at + size]
+            s = [None if x is None else np.mean([g in set(D.grams(own, min(2, len(x)))) for g in D.grams(x, 2)]) for x in (q, a)]
+            if (s[0] >= p.overlap and (s[1] is None or s[1] >= p.overlap)) or s[0] >= p.question_alone:
+                key = (s[0], -1.0 if s[1] is None else s[1])
+                best = max(best, key) if best else key
+        got = D.together(words, q, a, size, p)
+        assert (got is None) == (best is None)
+        if got:
+            assert got[0] == pytest.approx(best[0]) and (got[1] is None or got[1] == pytest.approx(best[1]))
