@@ -11,21 +11,19 @@ whose minimum over j of cost[j] + length[j] is taken from a monotone queue, so t
 
 The sequence is cut beforehand into runs of `docs_per_run` documents, by their rank in order of (doc_id, hash of the text) whatever the ids are, the
 last window of each being padded: runs are packed in parallel, and what a run gives doesn't depend on the others.  Ranks come from a sort by ranges
-of these two and the ranges' counts; only every docs_per_run-th key goes to the driver.  Tokens are those of a byte-level BPE vocabulary file.  Its pre-tokeniser begins a new piece
-at every single space, so counts are looked up word by word and add up to those of the whole text.
+and the ranges' counts, which alone go to the driver.  Tokens are those of a byte-level BPE vocabulary file.  Its pre-tokeniser begins a new piece
+at every single space, so counts are looked up word by word and add up to those of the whole text; a text with other white space, or with a sentence that fills a
+window, is encoded whole, and each token counts for the sentence that it ends in.
 
 Defined results: null and empty texts have no tokens and are in no window.  Rows without doc_id come last, in runs of their own.  Rows with
-equal doc_id are packed each, in order of a hash of the text; equal rows that fill several runs are spread over them.  Equal costs take the longest window.  White space other than single separators, and
-controls, make a document's sentences be encoded one by one.  Texts are packed whole; other columns aren't looked at.
+equal doc_id are packed each, in order of a hash of the text.  Equal costs take the longest window.  Texts are packed whole; other columns aren't looked at.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from bisect import bisect_left, bisect_right
 from collections import deque
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -36,7 +34,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, id_of, pieces, tuned, utf8
+from .common import Written, id_of, id_type, pieces, tuned, utf8
 
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 UNITS = "struct<tokens:array<int>,chars:array<int>,kinds:array<int>>"
@@ -87,27 +85,59 @@ _CONTROL = (np.arange(256) < 32) & (np.arange(256) != 10)
 _STOP = np.isin(np.arange(256), list(b".!?"))
 
 
-def parts(text: str, e: tiktoken.Encoding, most: int) -> Iterator[tuple[int, int]]:
-    """(characters, tokens) of slices of text that have at most `most` tokens each, by construction: a character has at most 4."""
-    step = max(1, most // 4)
-    for at in range(0, len(text), step):
-        own = text[at : at + step]
-        yield len(own), len(e.encode_ordinary(own))
+def token_ends(text: str, e: tiktoken.Encoding) -> np.ndarray:
+    """Where each token of the text ends, in characters; one that ends inside a character ends before it.
+
+    Long texts are encoded in blocks, cut where white space follows something else, as no piece of the pre-tokeniser goes across.
+    """
+    known = _LENGTHS.get(id(e))
+    if known is None:
+        known = np.zeros(e.n_vocab, np.int64)
+        for x in e.token_byte_values():
+            known[e.encode_single_token(x)] = len(x)
+        _LENGTHS[id(e)] = known
+    out, at, chars = [], 0, 0
+    while at < len(text):
+        end = len(text)
+        if end - at > _BLOCK and (cut := _EDGE.search(text, at + _BLOCK)):
+            end = cut.start() + 1
+        raw = np.frombuffer(text[at:end].encode("utf-8", "replace"), np.uint8)
+        ends = np.cumsum(known[np.array(e.encode_ordinary(text[at:end]), np.int64)])
+        begins = np.append((raw & 0xC0) != 0x80, True)
+        seen = np.append(0, np.cumsum(begins[:-1]))
+        out.append(seen[ends] - ~begins[ends] + chars)
+        at, chars = end, end
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+_LENGTHS: dict[int, np.ndarray] = {}
+_BLOCK = 1 << 18
+_EDGE = re.compile(r"\S(?=\s)")
 
 
 def slow_units(text: str, e: tiktoken.Encoding, p: Params) -> tuple[list[int], list[int], list[int]]:
-    """Tokens, characters and kinds of the units of a text, each encoded by itself; without the end token."""
+    """Tokens, characters and kinds of the units of a text, encoded whole; without the end token.  A sentence of a window's size is cut after every capacity // 8 tokens."""
+    ends = token_ends(text, e)
     tokens, chars, kinds = [], [], []
-    at = 0
+    at = first = 0
     for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
         if end == at:
             continue
-        n = len(e.encode_ordinary(text[at:end]))
-        own = [(end - at, n)] if n < p.capacity else list(parts(text[at:end], e, p.capacity // 8))
-        tokens += [x for _, x in own]
-        chars += [c for c, _ in own]
-        kinds += [BREAK] * (len(own) - 1) + [SENTENCE]
-        at = end
+        last = int(np.searchsorted(ends, end, "right")) if end < len(text) else len(ends)
+        n = last - first
+        if n < p.capacity:
+            tokens.append(n)
+            chars.append(end - at)
+            kinds.append(SENTENCE)
+        else:
+            step = max(1, p.capacity // 8)
+            for k in range(first, last, step):
+                stop = int(ends[k + step - 1]) if k + step < last else end
+                tokens.append(min(step, last - k))
+                chars.append(stop - at)
+                kinds.append(BREAK if k + step < last else SENTENCE)
+                at = stop
+        at, first = end, last
     return tokens, chars, kinds
 
 
@@ -240,52 +270,40 @@ def _whole(x: object) -> int | None:
     return None if pd.isna(x) else int(x)
 
 
-def run_starts(own: DataFrame, p: Params) -> list[tuple[bool, int, int]]:
-    """The keys (without doc_id, doc_id or 0, h) at which runs begin, but the first run's, in order; one comes again where equal rows fill runs."""
-    keys = own.select(F.col("doc_id").isNull().alias("without"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "h")
-    ordered = keys.repartitionByRange("without", "doc_id", "h").sortWithinPartitions("without", "doc_id", "h")
+def in_runs(counted: DataFrame, p: Params, tables: Written) -> DataFrame:
+    """counted (doc_id, h, at, …) with its run: docs_per_run rows each in order of (doc_id, h), those without doc_id last and in runs of their own."""
+    spark = counted.sparkSession
+    named = counted.withColumn("without", F.col("doc_id").isNull())
+    # `at` tells equal rows apart, so that ranges can part them
+    ordered = named.repartitionByRange("without", "doc_id", "h", "at").sortWithinPartitions("without", "doc_id", "h", "at")
     # the id holds the partition and, in its lower 33 bits, the row's place
-    placed = checkpointed(ordered.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
-    counts = {(r["without"], r["part"]): r["n"] for r in placed.groupBy("without", "part").agg(F.count("*").alias("n")).collect()}
-    before, total = [], {False: 0, True: 0}
+    placed = tables.write(ordered.withColumn("place", F.monotonically_increasing_id()).withColumn("part", F.shiftright("place", 33)), "placed")
+    counts = {(r["without"], r["part"]): r["n"] for r in placed.groupBy("without", "part").agg(F.count("*").alias("n")).collect()}  # as many as ranges
+    starts, total = [], {False: 0, True: 0}
     for without, part in sorted(counts):
         here = counts.get((False, part), 0) if without else 0  # those with doc_id stand before those without
-        before.append((without, part, total[without] - here))
+        starts.append((without, part, total[without] - here))
         total[without] += counts[without, part]
-    if not before:
-        return []
-    starts = own.sparkSession.createDataFrame(before, "without boolean, part long, start long")
-    ranked = placed.join(F.broadcast(starts), ["without", "part"]).withColumn("rank", F.col("start") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    rows = ranked.where((F.col("rank") % p.docs_per_run == 0)).select("without", "rank", "doc_id", "h").collect()
-    return [(r[0], r[2], r[3]) for r in sorted(tuple(r) for r in rows)][1:]
-
-
-def runs_of(starts: list[tuple[bool, int, int]]):  # noqa: ANN201
-    def one(doc_id: pa.Array, h: pa.Array, at: pa.Array) -> pa.Array:
-        out = []
-        for i, x, n in zip(doc_id.to_pylist(), h.to_pylist(), at.to_pylist(), strict=True):
-            key = (i is None, i or 0, x)
-            last = bisect_right(starts, key)
-            again = last - bisect_left(starts, key)  # runs that begin with this key
-            out.append(last - n % again if again > 1 else last)
-        return pa.array(out, pa.int64())
-
-    return F.arrow_udf(one, "bigint")
+    known = spark.createDataFrame(starts, "without boolean, part long, start long")
+    before = -(-total[False] // p.docs_per_run)  # runs of rows with doc_id
+    rank = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    run = F.floor(rank / p.docs_per_run) + F.when(F.col("without"), F.lit(before)).otherwise(0)
+    return placed.join(F.broadcast(known), ["without", "part"]).select(run.cast("long").alias("run"), "doc_id", "h", "tokens", "chars", "kinds")
 
 
 def packed(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """A row for each window: run, window, doc_ids, spans (doc_id, first and end character, tokens), tokens, padding, kind of cut."""
-    tuned(docs.sparkSession)
-    own = docs.select(id_of(docs), docs[text].cast("string").alias("t")).where(F.length("t") > 0).withColumn("h", F.xxhash64("t"))
-    run = runs_of(run_starts(own, p))("doc_id", "h", "at")
-    counted = own.select("doc_id", "h", F.monotonically_increasing_id().alias("at"), units(p)("t").alias("u")).select(run.alias("run"), "doc_id", "h", "u.*")
+    tables = Written(tuned(docs.sparkSession))
+    kind = id_type(docs).simpleString()
+    own = docs.select(id_of(docs), docs[text].cast("string").alias("t")).where(F.length("t") > 0)
+    # counted once; the sort reads its input twice, to find the ranges
+    counted = tables.write(own.select("doc_id", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("at"), units(p)("t").alias("u")).select("doc_id", "h", "at", "u.*"), "counted")
     names = [x.split()[0] for x in ("run", "window", "doc_ids", "spans", "tokens", "padding", "cut")]
+    whole = kind == "bigint"
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "h"], na_position="last")
-        runs = [(_whole(i), list(n), list(c), list(k)) for i, n, c, k in zip(rows["doc_id"], rows["tokens"], rows["chars"], rows["kinds"], strict=True)]
-        out = pd.DataFrame(pack_run(_whole(key[0]), runs, p), columns=names)
-        out["run"] = out["run"].astype("Int64")
-        return out
+        runs = [(_whole(i) if whole else i, list(n), list(c), list(k)) for i, n, c, k in zip(rows["doc_id"], rows["tokens"], rows["chars"], rows["kinds"], strict=True)]
+        return pd.DataFrame(pack_run(_whole(key[0]), runs, p), columns=names)
 
-    return counted.groupBy("run").applyInPandas(one, WINDOWS)
+    return in_runs(counted, p, tables).groupBy("run").applyInPandas(one, WINDOWS.replace("doc_ids array<bigint>", f"doc_ids array<{kind}>").replace("doc_id:bigint", f"doc_id:{kind}"))

@@ -465,3 +465,39 @@ def test_stretches_equal_plain_ones():
         assert (got is None) == (best is None)
         if got:
             assert got[0] == pytest.approx(best[0]) and (got[1] is None or got[1] == pytest.approx(best[1]))
+
+
+def test_sentences_that_fill_windows_are_counted_whole():
+    p = P.Params(capacity=256)
+    e = P.encoding(p)[0]
+    r = random.Random(12)
+    texts = [
+        " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 9))) for _ in range(3000)),  # one sentence
+        "x" * 5000,
+        "中文\U0001f600" * 900,
+        "a  b\t\tc \n\n d. " * 700 + "  end  ",
+        "first. " + "éü " * 2000 + ". last",
+    ]
+    for t in texts:
+        ends = P.token_ends(t, e)
+        assert len(ends) == len(e.encode_ordinary(t)) and ends[-1] == len(t) and (np.diff(ends) >= 0).all()
+        ((tokens, chars, kinds),) = P.units_of([t.encode()], p)
+        assert sum(tokens) == len(e.encode_ordinary(t)) + 1 and sum(chars) == len(t)
+        assert max(tokens) <= p.capacity and min(chars) >= 0 and kinds[-1] == P.DOCUMENT
+
+
+def test_blocks_of_long_texts_change_no_token(monkeypatch):
+    monkeypatch.setattr(P, "_BLOCK", 50)
+    e = P.encoding(P.Params())[0]
+    r = random.Random(13)
+    for _ in range(40):
+        t = "".join(r.choice(["word", " ", "  ", "\n", "\t", "1", "23", "'s", "é", "中", ".", "!?"]) for _ in range(r.randint(0, 400)))
+        n = [len(e.decode_bytes(e.encode_ordinary(t)[: k + 1]).decode("utf-8", "ignore")) for k in range(len(e.encode_ordinary(t)))]
+        assert P.token_ends(t, e).tolist() == n
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([(f"d{i:02d}", nasty.prose(i // 2, 80)) for i in range(20)] + [(None, "x")], "doc_id string, text string")
+    assert {s.doc_id for r in P.packed(docs).collect() for s in r.spans} == {f"d{i:02d}" for i in range(20)} | {None}
+    assert {r.doc_id for r in O.fingerprints(docs).collect()} == {f"d{i:02d}" for i in range(20)} | {None}
+    assert {r.doc_id for r in H.shards(docs).collect()} == {f"d{i:02d}" for i in range(20)}
