@@ -8,7 +8,7 @@ its first point, then splits into halves, of which one inherits the point and th
 whose first point is later than all of the document's positions is given up with all its units.  Neither step changes a signature.
 
 Documents of equal multisets are one group at once, and the least id stands for them.  Where signatures agree on a band, the members are
-compared with the least id of the bucket, by the exact overlap of the multisets.  Then every pair of a bucket that these comparisons left in
+compared with the least id of the bucket, by the overlap of the multisets of the shingles' 48-bit hashes.  Then every pair of a bucket that these comparisons left in
 different groups is compared as well, so each pair that shares a band is either compared or already in one group, whatever
 the bucket's size.  Groups are the connected components.
 
@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Written, checkpointed, id_of, mix, pieces, tuned, utf8, words
 
@@ -51,7 +53,9 @@ class Params:
 
 
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(value's index, 48-bit hash of the shingle, count), ascending.  At most 65,536 values."""
+    """(value's index, 48-bit hash of the shingle, count), ascending.  At most 65,536 values, whose numbers stand above the hashes."""
+    if len(offsets) > 65_537:
+        raise ValueError(f"{len(offsets) - 1} values in a piece")
     lo, hi = int(offsets[0]), int(offsets[-1])
     w, doc = words(_LOW[data[lo:hi]], offsets - lo)
     if not len(w):
@@ -192,14 +196,16 @@ def verified(pairs: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
     def compare(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = key[0].as_py()
-        bags: dict[int, list] = {}
+        bags: dict = {}
         for batch in rows:
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("t"), strict=True):
                 bags.setdefault(i, []).append(bag(t.as_py(), p.shingle))
         hit = [i for i, own in bags.items() if i != a and max(jaccard(x, y) for x in bags[a] for y in own) >= p.threshold]
-        yield pa.RecordBatch.from_arrays([pa.array([a] * len(hit), pa.int64()), pa.array(hit, pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([a] * len(hit), kind), pa.array(hit, kind)], ["a", "b"])
 
-    return wanted.join(texts, "doc_id").select("a", "chunk", "doc_id", "t").groupBy("a", "chunk").applyInArrow(compare, "a bigint, b bigint")
+    own = texts.schema["doc_id"].dataType
+    kind = to_arrow_type(own)
+    return wanted.join(texts, "doc_id").select("a", "chunk", "doc_id", "t").groupBy("a", "chunk").applyInArrow(compare, T.StructType([T.StructField("a", own), T.StructField("b", own)]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,8 +236,10 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -
     equal = sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("keep"))
     copies = sketches.select("doc_id", "f1", "f2").join(equal, ["f1", "f2"]).where("doc_id <> keep").select(F.col("doc_id").alias("a"), F.col("keep").alias("b"))
     kept = sketches.join(equal, ["f1", "f2"]).where("doc_id = keep").select("doc_id", F.explode("bands").alias("band"))
-    in_band = Window.partitionBy("band")
-    buckets = checkpointed(kept.distinct().select("doc_id", "band", F.min("doc_id").over(in_band).alias("hub"), F.count("*").over(in_band).alias("n")).where("n > 1").drop("n"))
+    # bands are shuffled once; a bucket's least member is aggregated where they lie, and hash-joined to its members, so no task sorts or holds a bucket
+    bands = kept.where("band is not null").repartition("band")
+    hubs = bands.groupBy("band").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("other")).where("hub <> other").drop("other")
+    buckets = checkpointed(bands.join(hubs.hint("shuffle_hash"), "band").select("doc_id", "band", "hub"))
     wanted = buckets.select("doc_id").distinct()
     candidates = checkpointed(texts.join(wanted, "doc_id", "left_semi"))
     stars = buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -251,7 +259,7 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -
 def remove(docs: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """docs, all their columns, with one document of each group, and one row of each document."""
     gone = near_duplicates(docs, p, text).select(F.col("doc_id").alias("_gone"))
-    out = docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    out = docs.join(gone, id_of(docs) == gone["_gone"], "left_anti")
     repeated = checkpointed(docs.groupBy(docs["doc_id"].alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1 and _id is not null").select("_id"))
     if repeated.isEmpty():
         return out
