@@ -2,7 +2,8 @@
 
 A document's bytes become vectors of a learned table.  Learned filters look at chunks of 2 * stride bytes, one every `stride` bytes, so that
 chunks overlap and cover the document to its last byte.  Each filter's greatest value over all chunks goes through a linear layer
-into one probability, that of good quality.  All of it is trained by gradient descent on a bounded sample of labelled documents.
+into one probability, that of good quality.  All of it is trained by gradient descent on a bounded sample of labelled documents, each looked at whole.
+Long texts are judged in parts whose maxima are kept, so memory doesn't follow a text's length.
 
 Defined results: null and empty texts have no chunk; their probability is 0.  Without labelled documents of both kinds there is no model and
 probabilities are null.  A label that is null isn't used; of several labels of a document the least counts.  Rows are judged each on its own.
@@ -27,8 +28,7 @@ class Params:
     stride: int = 6
     width: int = 8  # of the bytes' vectors
     filters: int = 24
-    per_label: int = 400  # the bound of the labelled sample
-    longest: int = 20_000  # bytes of each sampled document that a step of training looks at, another part each time
+    per_label: int = 400  # the bound of the labelled sample, whose texts the driver holds whole
     epochs: int = 40
     batch: int = 16
     rate: float = 0.01
@@ -57,22 +57,50 @@ def blocks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stride: int)
     return codes, first
 
 
+SEGMENT = 1 << 16  # blocks that are looked at at once
+
+
+def _filtered(m: Model, codes: np.ndarray) -> np.ndarray:
+    """(blocks, filters): the filters' values of the chunk that begins with each block; the last block begins none."""
+    y = np.empty((len(codes), m.first.shape[1]), np.float32)
+    for a in range(0, len(codes), SEGMENT):
+        x = m.table[codes[a : a + SEGMENT]].reshape(-1, m.first.shape[0])
+        y[a : a + SEGMENT] = x @ m.first
+        z = x @ m.second
+        y[max(a - 1, 0) : a + len(x) - 1] += z[int(a == 0) :]
+    return y
+
+
 def _maxima(m: Model, codes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(texts, filters): the filters' greatest values.  The padding blocks end a text's chunks."""
-    x = m.table[codes].reshape(len(codes), -1)
-    y = x @ m.first
-    z = x @ m.second
-    y[:-1] += z[1:]
+    y = _filtered(m, codes)
     y[np.append(first[1:], len(codes)) - 1] = -np.inf  # no chunk begins in the padding
     return np.maximum.reduceat(y, first, axis=0) + m.bias
 
 
+def _maxima_of_one(m: Model, data: np.ndarray, stride: int) -> np.ndarray:
+    """The filters' greatest values over a long text, in parts that overlap by a block."""
+    top = np.full(m.first.shape[1], -np.inf, np.float32)
+    step = SEGMENT * stride
+    for a in range(0, len(data), step):
+        own = data[a : a + step + stride]
+        codes, _ = blocks(own, np.array([0]), np.array([len(own)]), stride)
+        whole = codes[: -(-len(own) // stride) + (a + len(own) >= len(data))]  # only the text's end is padded
+        if len(whole) > 1:
+            top = np.maximum(top, _filtered(m, whole)[:-1].max(0))
+    return top + m.bias
+
+
 def probabilities(m: Model, data: np.ndarray, offsets: np.ndarray, stride: int) -> np.ndarray:
     out = np.zeros(len(offsets) - 1)
-    some = np.flatnonzero(np.diff(offsets) > 0)
+    size = np.diff(offsets)
+    long = size > SEGMENT * stride
+    some = np.flatnonzero((size > 0) & ~long)
+    top = [_maxima(m, *blocks(data, offsets[some], offsets[some + 1], stride))] if len(some) else []
+    some = np.append(some, np.flatnonzero(long)).astype(np.int64)
+    top += [_maxima_of_one(m, data[offsets[i] : offsets[i + 1]], stride)[None] for i in np.flatnonzero(long).tolist()]
     if len(some):
-        top = _maxima(m, *blocks(data, offsets[some], offsets[some + 1], stride))
-        out[some] = 1 / (1 + np.exp(-(np.tanh(top) @ m.out + m.out_bias[0])))
+        out[some] = 1 / (1 + np.exp(-(np.tanh(np.concatenate(top)) @ m.out + m.out_bias[0])))
     return out
 
 
@@ -86,15 +114,10 @@ def train(texts: list[bytes], labels: np.ndarray, p: Params = Params()) -> Model
     steps = p.epochs * max(1, max(map(len, kinds)) // (p.batch // 2))
     for step in range(1, steps + 1):
         pick = np.concatenate([rng.choice(own, p.batch // 2) for own in kinds])
-        parts = []
-        for i in pick:
-            at = int(rng.integers(0, max(1, len(texts[i]) - p.longest + 1)))
-            parts.append(np.frombuffer(texts[i][at : at + p.longest], np.uint8))
+        parts = [np.frombuffer(texts[i], np.uint8) for i in pick]
         ends = np.cumsum([len(x) for x in parts])
         codes, first = blocks(np.concatenate(parts), ends - [len(x) for x in parts], ends, p.stride)
-        x = m.table[codes].reshape(len(codes), -1)
-        y, z = x @ m.first, x @ m.second
-        y[:-1] += z[1:]
+        y = _filtered(m, codes)
         last = np.append(first[1:], len(codes)) - 1
         y[last] = -np.inf
         where = np.stack([a + y[a:b].argmax(0) for a, b in zip(first, last, strict=True)])  # (texts, filters)
@@ -105,8 +128,8 @@ def train(texts: list[bytes], labels: np.ndarray, p: Params = Params()) -> Model
         g_first, g_second, g_table = np.zeros_like(m.first), np.zeros_like(m.second), np.zeros_like(m.table)
         for j in range(p.filters):
             own = where[:, j]
-            g_first[:, j] = d_top[:, j] @ x[own]
-            g_second[:, j] = d_top[:, j] @ x[own + 1]
+            g_first[:, j] = d_top[:, j] @ m.table[codes[own]].reshape(len(own), -1)
+            g_second[:, j] = d_top[:, j] @ m.table[codes[own + 1]].reshape(len(own), -1)
             np.add.at(g_table, codes[own].astype(np.intp), d_top[:, j][:, None, None] * m.first[:, j].reshape(p.stride, p.width))
             np.add.at(g_table, codes[own + 1].astype(np.intp), d_top[:, j][:, None, None] * m.second[:, j].reshape(p.stride, p.width))
         grads = [g_table, g_first, g_second, d_top.sum(0), d_q @ top, d_q.sum(keepdims=True)]
