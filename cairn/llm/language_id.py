@@ -30,6 +30,7 @@ class Params:
     window: int = 256
     batch: int = 2048  # windows in a step of inference
     docs_per_language: int = 150  # the bound of the labelled sample
+    windows_per_document: int = 8  # drawn from all over the text of each sampled document, of train_window bytes each
     train_window: int = 96
     train_batch: int = 128
     steps: int = 160
@@ -56,6 +57,49 @@ def _step(x: np.ndarray, w: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]
     return n + zr[:k] * (h - n), zr[:k], zr[k:], n, g[2 * k :]
 
 
+def weights_of(m: Model) -> list[np.ndarray]:
+    return [*m.tables, *m.states, *m.outs, m.bias]  # type: ignore[list-item]
+
+
+def gradients(m: Model, xs: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean cross-entropy at every byte of xs (bytes, examples), y being the examples' classes, and its gradients by backpropagation through time, in the order of weights_of()."""
+    t_n, b = xs.shape
+    k, kind = m.states[0].shape[1], m.tables[0].dtype
+    saved, hidden = [[], []], [np.zeros((t_n, k, b), kind) for _ in "fb"]
+    for d in range(2):
+        h = np.zeros((k, b), kind)
+        for t in range(t_n) if d == 0 else range(t_n - 1, -1, -1):
+            new, *rest = _step(m.tables[d][:, xs[t]], m.states[d], h)
+            saved[d].append((h, *rest))
+            hidden[d][t] = h = new
+    logits = np.einsum("ck,tkb->tcb", m.outs[0], hidden[0]) + np.einsum("ck,tkb->tcb", m.outs[1], hidden[1]) + m.bias
+    e = np.exp(logits - logits.max(1, keepdims=True))
+    d_out = e / e.sum(1, keepdims=True)
+    loss = -float(np.log(d_out[:, y, np.arange(b)]).mean())
+    d_out[:, y, np.arange(b)] -= 1
+    d_out /= t_n * b
+    grads: list[np.ndarray] = [None] * 7  # type: ignore[list-item]
+    grads[6] = d_out.sum((0, 2))[:, None]
+    for d in range(2):
+        grads[4 + d] = np.einsum("tcb,tkb->ck", d_out, hidden[d])
+        d_hidden = np.einsum("ck,tcb->tkb", m.outs[d], d_out)
+        d_w, d_x, back = np.zeros_like(m.states[d]), np.zeros((t_n, 3 * k, b), kind), np.zeros((k, b), kind)
+        order = list(range(t_n)) if d == 0 else list(range(t_n - 1, -1, -1))
+        for t, (h, z, r, n, g_n) in zip(reversed(order), reversed(saved[d]), strict=True):
+            dh = back + d_hidden[t]
+            d_n = dh * (1 - z) * (1 - n * n)
+            d_z = dh * (h - n) * z * (1 - z)
+            d_r = d_n * g_n * r * (1 - r)
+            d_g = np.concatenate([d_z, d_r, d_n * r])
+            d_x[t, : 2 * k], d_x[t, 2 * k :] = d_g[: 2 * k], d_n
+            d_w += d_g @ h.T
+            back = dh * z + m.states[d].T @ d_g
+        flat = xs.ravel()
+        grads[d] = np.stack([np.bincount(flat, d_x[:, i].ravel(), 256) for i in range(3 * k)]).astype(kind)
+        grads[2 + d] = d_w
+    return loss, grads
+
+
 def train(codes: np.ndarray, labels: np.ndarray, classes: list[str], p: Params) -> Model:
     """codes: (examples, train_window) bytes; labels: their classes' numbers."""
     rng = np.random.default_rng(p.seed)
@@ -65,45 +109,12 @@ def train(codes: np.ndarray, labels: np.ndarray, classes: list[str], p: Params)
     m.states = [(rng.standard_normal((3 * k, k)) / np.sqrt(k)).astype(f4) for _ in "fb"]
     m.outs = [(rng.standard_normal((c, k)) * 0.3).astype(f4) for _ in "fb"]
     m.bias = np.zeros((c, 1), f4)
-    weights = [*m.tables, *m.states, *m.outs, m.bias]
+    weights = weights_of(m)
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     by_class = [np.flatnonzero(labels == i) for i in range(c)]
-    t_n = codes.shape[1]
     for step in range(1, p.steps + 1):
         pick = np.concatenate([rng.choice(own, -(-p.train_batch // c)) for own in by_class])
-        xs, y = codes[pick].T, labels[pick]
-        b = len(pick)
-        saved, hidden = [[], []], [np.zeros((t_n, k, b), f4) for _ in "fb"]
-        for d in range(2):
-            h = np.zeros((k, b), f4)
-            for t in range(t_n) if d == 0 else range(t_n - 1, -1, -1):
-                new, *rest = _step(m.tables[d][:, xs[t]], m.states[d], h)
-                saved[d].append((h, *rest))
-                hidden[d][t] = h = new
-        logits = np.einsum("ck,tkb->tcb", m.outs[0], hidden[0]) + np.einsum("ck,tkb->tcb", m.outs[1], hidden[1]) + m.bias
-        e = np.exp(logits - logits.max(1, keepdims=True))
-        d_out = e / e.sum(1, keepdims=True)
-        d_out[:, y, np.arange(b)] -= 1
-        d_out /= t_n * b
-        grads: list[np.ndarray] = [None] * len(weights)  # type: ignore[list-item]
-        grads[6] = d_out.sum((0, 2))[:, None]
-        for d in range(2):
-            grads[4 + d] = np.einsum("tcb,tkb->ck", d_out, hidden[d])
-            d_hidden = np.einsum("ck,tcb->tkb", m.outs[d], d_out)
-            d_w, d_x, back = np.zeros_like(m.states[d]), np.zeros((t_n, 3 * k, b), f4), np.zeros((k, b), f4)
-            order = list(range(t_n)) if d == 0 else list(range(t_n - 1, -1, -1))
-            for t, (h, z, r, n, g_n) in zip(reversed(order), reversed(saved[d]), strict=True):
-                dh = back + d_hidden[t]
-                d_n = dh * (1 - z) * (1 - n * n)
-                d_z = dh * (h - n) * z * (1 - z)
-                d_r = d_n * g_n * r * (1 - r)
-                d_g = np.concatenate([d_z, d_r, d_n * r])
-                d_x[t, : 2 * k], d_x[t, 2 * k :] = d_g[: 2 * k], d_n
-                d_w += d_g @ h.T
-                back = dh * z + m.states[d].T @ d_g
-            flat = xs.ravel()
-            grads[d] = np.stack([np.bincount(flat, d_x[:, i].ravel(), 256) for i in range(3 * k)]).astype(f4)
-            grads[2 + d] = d_w
+        _, grads = gradients(m, codes[pick].T, labels[pick])
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         rate = p.rate * min(1.0, 2 * (1 - step / (p.steps + 1)))
         for w, g, a, s in zip(weights, grads, first, second, strict=True):
@@ -191,7 +202,7 @@ def fit(docs: DataFrame, p: Params = Params(), text: str = "text", label: str =
     rng, codes, labels = np.random.default_rng(p.seed), [], []
     for r in sorted(rows, key=lambda r: (r[label], r[key])):
         raw = np.frombuffer(r[text].encode(), np.uint8)
-        for at in rng.integers(0, max(1, len(raw) - p.train_window + 1), 8):
+        for at in rng.integers(0, max(1, len(raw) - p.train_window + 1), p.windows_per_document):
             codes.append(np.resize(raw[at : at + p.train_window], p.train_window))
             labels.append(number[r[label]])
     if len(classes) == 1:
