@@ -8,7 +8,9 @@ all later outputs share; the rest is null.
 
 Defined results: turns are in order of `turn`, then role, then text, with nulls first.  Null roles and texts are rendered as empty strings, but reported as they are;
 rows without conv_id form a conversation of their own.  Repeated rows are repeated turns.  Empty turns have the span that the template gives
-them.  A turn that a template drops has an empty span where it would stand.  Other columns aren't looked at.
+them.  A turn that a template drops has an empty span where it would stand.  A template may raise: a prefix that it refuses is left out, its turn has no span
+and is in failed_at, and the span of the next turn that renders holds both; where it refuses the whole conversation, text is null and error says why; the
+job goes on.  An id that isn't a number keeps its type.  Other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import id_of, tuned
 
 Turns = Sequence[tuple[str, str]]
-RESULT = "struct<text:string,spans:array<struct<turn:bigint,role:string,start:bigint,end:bigint>>,rewrites:boolean,rewritten_at:array<bigint>>"
+RESULT = "struct<text:string,spans:array<struct<turn:bigint,role:string,start:bigint,end:bigint>>,rewrites:boolean,rewritten_at:array<bigint>,failed_at:array<bigint>,error:string>"
 
 
 def chatml(turns: Turns) -> str:
@@ -72,13 +74,36 @@ def common_suffix(a: str, b: str) -> int:
 
 
 def render(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[tuple[int, int] | None], list[int]]:
-    """The final string, each turn's span in it and the turns whose addition rewrote what stood before."""
-    before, final = template([]), template(turns)
-    end = min(common_suffix(x, final) for x in (before, template(turns[:1])))  # a foot that the template ends every output with
+    """The final string, each turn's span in it and the turns whose addition rewrote what stood before; the template's errors go through."""
+    text, spans, rewritten, _, error = attempt(turns, template)
+    if error is not None:
+        raise error
+    return text, spans, rewritten  # type: ignore[return-value]
+
+
+def attempt(turns: Turns, template: Callable[[Turns], str]) -> tuple[str | None, list[tuple[int, int] | None], list[int], list[int], Exception | None]:
+    """As render(), with the turns whose prefixes the template refused, and its error if it refused the whole."""
+    try:
+        final = template(turns)
+    except Exception as e:  # noqa: BLE001  a template is anyone's code
+        return None, [None] * len(turns), [], list(range(len(turns))), e
+    outputs: list[str | None] = []
+    for i in range(len(turns)):
+        try:
+            outputs.append(template(turns[:i]))
+        except Exception:  # noqa: BLE001
+            outputs.append(None)
+    outputs.append(final)
+    before = outputs[0] or ""
+    end = min((common_suffix(x, final) for x in outputs[:2] if x is not None), default=0)  # a foot that the template ends every output with
     spans: list[tuple[int, int] | None] = []
-    rewritten = []
+    rewritten, failed = [], []
     for i in range(len(turns)):
-        now = template(turns[: i + 1])
+        now = outputs[i + 1]
+        if now is None:
+            failed.append(i)
+            spans.append(None)
+            continue
         head = common_prefix(before, now)
         foot = common_suffix(before[head:], now[head:])
         if head + foot < len(before):
@@ -94,28 +119,35 @@ def render(turns: Turns, template: Callable[[Turns], str]) -> tuple[str, list[tu
                 spans[j] = (s[0] + moved, s[1] + moved) if s[0] >= len(before) - foot and s[1] > s[0] else None
         spans.append((head, len(now) - foot))
         before = now
-    return before, spans, rewritten
+    return final, spans, rewritten, failed, None
 
 
 def rendered(template: Callable[[Turns], str]):  # noqa: ANN201
-    of = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), ("rewrites", pa.bool_()), ("rewritten_at", pa.list_(pa.int64()))])
+    of = pa.struct([("text", pa.string()), ("spans", pa.list_(pa.struct([("turn", pa.int64()), ("role", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))), ("rewrites", pa.bool_()), ("rewritten_at", pa.list_(pa.int64())), ("failed_at", pa.list_(pa.int64())), ("error", pa.string())])
 
     def one(conversations: pa.Array) -> pa.Array:
         out = []
         for c in conversations:
             rows = c.as_py() or []
             turns = [(r["role"] or "", r["text"] or "") for r in rows]
-            text, spans, rewritten = render(turns, template)
-            out.append({"text": text, "spans": [{"turn": r["turn"], "role": r["role"], "start": s[0] if s else None, "end": s[1] if s else None} for r, s in zip(rows, spans, strict=True)], "rewrites": bool(rewritten), "rewritten_at": [rows[i]["turn"] for i in rewritten]})
+            text, spans, rewritten, failed, error = attempt(turns, template)
+            out.append({"text": text, "spans": [{"turn": r["turn"], "role": r["role"], "start": s[0] if s else None, "end": s[1] if s else None} for r, s in zip(rows, spans, strict=True)], "rewrites": bool(rewritten), "rewritten_at": [rows[i]["turn"] for i in rewritten], "failed_at": [rows[i]["turn"] for i in failed], "error": None if error is None else f"{type(error).__name__}: {error}"})
         return pa.array(out, of)
 
     return F.arrow_udf(one, RESULT)
 
 
 def formatted(conversations: DataFrame, template: Callable[[Turns], str] = chatml) -> DataFrame:
-    """A row for each conversation: conv_id, text, spans, rewrites, rewritten_at."""
+    """A row for each conversation: conv_id, text, spans, rewrites, rewritten_at, failed_at, error."""
     tuned(conversations.sparkSession)
     c = conversations
     turn = F.struct(c["turn"].cast("long").alias("turn"), c["role"].cast("string").alias("role"), c["text"].cast("string").alias("text"))
-    grouped = c.groupBy(c["conv_id"].cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    grouped = c.groupBy(id_of(c, "conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     return grouped.select("conv_id", rendered(template)("turns").alias("r")).select("conv_id", "r.*")
+
+
+def turns(conversations: DataFrame, template: Callable[[Turns], str] = chatml) -> DataFrame:
+    """A row for each turn: conv_id, place from 0, turn, role, start, end, rewrites; text, the whole string, in the first of them."""
+    own = formatted(conversations, template)
+    every = own.select("conv_id", "text", "rewrites", F.posexplode("spans").alias("place", "s"))
+    return every.select("conv_id", F.col("place").cast("long").alias("place"), "s.*", "rewrites", F.when(F.col("place") == 0, F.col("text")).alias("text"))
