@@ -1,9 +1,10 @@
 """Licence scans: Aho-Corasick finds identifier tags and notice phrases, a shunting-yard parser evaluates licence expressions.
 
-One automaton over the lowered text holds the tag that introduces an expression ("SPDX-License-Identifier:") and the notices' phrases.  An
-expression after a tag runs to the end of its line and is parsed by shunting-yard with the precedence WITH > AND > OR.  An expression is
-allowed where the policy allows it: an identifier by itself, `x WITH exception` where it allows the exception and x, AND where it
-allows both sides and OR where it allows one.  A phrase stands for its identifier.  Where phrases overlap all are reported.
+One automaton holds the tag that introduces an expression ("SPDX-License-Identifier:") and the notices' phrases.  It runs over the lowered text, in which line
+ends with the comment signs after them, and other white space, are one space, so that wrapped notices are found; starts are those in the text as it is.  An
+expression after a tag runs to the end of its line, or to a full stop, comma or semicolon before white space, or to a dash by itself, whatever prose
+follows, and is parsed by shunting-yard with the precedence WITH > AND > OR.  An expression is allowed where the policy allows it: an identifier by
+itself, or with a + (or later), `x WITH exception` where it allows the exception and x, AND where it allows both sides and OR where it allows one.  A phrase stands for its identifier.  Where phrases overlap all are reported.
 
 Defined results: null or empty text has no findings.  A tag whose expression doesn't parse, or has none, is reported with the expression as written,
 no identifiers, valid false and allowed false.  A document is allowed if all its findings are; without findings it is allowed.  Repeated
@@ -13,6 +14,7 @@ notices are each found.  Phrases count only between non-word characters.  Texts
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -29,6 +31,13 @@ PHRASES = {
     "released under the mit license": "MIT",
     "licensed under the mit license": "MIT",
     "permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
+    "gnu general public license as published by the free software foundation, either version 3": "GPL-3.0-or-later",
+    "gnu general public license as published by the free software foundation; either version 3": "GPL-3.0-or-later",
+    "gnu general public license as published by the free software foundation, either version 2": "GPL-2.0-or-later",
+    "gnu general public license as published by the free software foundation; either version 2": "GPL-2.0-or-later",
+    "gnu lesser general public license as published by the free software foundation, either version 3": "LGPL-3.0-or-later",
+    "gnu lesser general public license as published by the free software foundation; either version 3": "LGPL-3.0-or-later",
+    "gnu lesser general public license as published by the free software foundation; either version 2.1": "LGPL-2.1-or-later",
     "gnu general public license, version 3": "GPL-3.0-only",
     "gnu general public license version 3": "GPL-3.0-only",
     "gnu general public license, version 2": "GPL-2.0-only",
@@ -109,7 +118,7 @@ def evaluate(postfix: list[str], policy: Policy) -> bool | None:
     stack: list[tuple[bool, str | None]] = []  # (allowed, the identifier if it is one)
     for x in postfix:
         if x not in _BINDS:
-            stack.append((x.lower() in policy.allowed, x.lower()))
+            stack.append((x.lower().removesuffix("+") in policy.allowed, x.lower()))
             continue
         right, left = stack.pop(), stack.pop()
         if x == "with":
@@ -135,19 +144,41 @@ def _between(text: str, a: int, b: int) -> bool:
     return not ((a and text[a - 1].isalnum()) or (b < len(text) and text[b].isalnum()))
 
 
+_WRAP = re.compile(r"\s*\n\s*(?:(?:/\*+|//+|\*+(?!/)|\#+|;+|--|%+|>+|<!--)[ \t]*)?|[^\S\n]{2,}|[^\S\n ]")
+_STOP = re.compile(r"[.,;](?=\s|$)|(?<=\s)(?:-+|[\u2013\u2014])(?=\s|$)")
+
+
+def unwrapped(text: str) -> tuple[str, list[int], list[int]]:
+    """text with line ends and other white space as one space, and at which places of both it was shortened to."""
+    parts, ours, theirs, at, size = [], [0], [0], 0, 0
+    for m in _WRAP.finditer(text):
+        parts += (text[at : m.start()], " ")
+        size += m.start() - at + 1
+        at = m.end()
+        ours.append(size)
+        theirs.append(at)
+    return "".join([*parts, text[at:]]), ours, theirs
+
+
 def findings(text: str, a: ahocorasick.Automaton, policy: Policy) -> list[dict]:
     out = []
     low = text.lower()
     if len(low) != len(text):  # a few letters are longer in lower case; those stay as they are
         low = "".join(x if len(x) == 1 else c for c in text for x in (c.lower(),))
-    for last, (size, identifier) in a.iter(low):
-        start, end = last + 1 - size, last + 1
+    short, ours, theirs = unwrapped(low)
+    for last, (size, identifier) in a.iter(short):
+        k = bisect_right(ours, last + 1 - size) - 1
+        start = theirs[k] + last + 1 - size - ours[k]
         if identifier is not None:
-            if _between(low, start, end):
+            if _between(short, last + 1 - size, last + 1):
                 out.append({"start": start, "kind": "phrase", "expression": identifier, "identifiers": [identifier], "valid": True, "allowed": identifier.lower() in policy.allowed})
             continue
+        k = bisect_right(ours, last) - 1
+        end = theirs[k] + last - ours[k] + 1
         stop = low.find("\n", end)
         written = text[end : stop if stop >= 0 else len(text)].strip().removesuffix("*/").removesuffix("-->").strip()
+        if m := _STOP.search(written):
+            written = written[: m.start()].strip()
         postfix = to_postfix(written)
         ok = evaluate(postfix, policy) if postfix else None
         out.append({"start": start, "kind": "tag", "expression": written, "identifiers": [x for x in postfix if x not in _BINDS] if postfix and ok is not None else [], "valid": ok is not None, "allowed": bool(ok)})
