@@ -93,3 +93,38 @@ def test_empty_table(spark):
 def test_many_copies_are_one_group(spark, n):
     docs = spark.createDataFrame([(i, nasty.prose(3, 80)) for i in range(n)], "doc_id long, text string")
     assert {(r.doc_id, r.keep_id) for r in B.near_duplicates(docs).collect()} == {(i, 0) for i in range(1, n)}
+
+
+def test_more_texts_than_16_bits_number(spark):
+    """In one batch of small texts each keeps its own shingles."""
+    from cairn.llm.common import pieces
+
+    texts = [f"text {i:05d}" for i in range(70_000)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.arange(70_001) * 10
+    seen = [x for a, b in pieces(offsets) for x in B.weighted_shingles(raw, offsets[a : b + 1], 3)[1].tolist()]
+    assert len(seen) == 70_000 == len(set(seen))
+    with pytest.raises(ValueError, match="70000 values"):
+        B.weighted_shingles(raw, offsets, 3)
+
+
+def test_all_pairs_that_share_a_band_and_overlap_are_joined(spark):
+    """Exact, given the bands: components of the pairs that share one."""
+    p = B.Params(bands=6, rows=2)
+    rows = [(k * 10 + j, " ".join([*nasty.prose(400 + k, 50).split()[: 50 - 3 * j], *nasty.prose(500 + 7 * k + j, 4 * j).split()])) for k in range(8) for j in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r.doc_id: set(r.s.bands) for r in docs.select("doc_id", B.sketched(p)("text").alias("s")).collect()}
+    bags = {i: B.bag(t, p.shingle) for i, t in rows}
+    edges = [(a, b) for a, b in itertools.combinations(sorted(bags), 2) if keys[a] & keys[b] and B.jaccard(bags[a], bags[b]) >= p.threshold]
+    group = {i: i for i in bags}
+    for _ in bags:
+        for a, b in edges:
+            group[a] = group[b] = min(group[a], group[b])
+    assert edges and {(r.doc_id, r.keep_id) for r in B.near_duplicates(docs, p).collect()} == {(i, g) for i, g in group.items() if g != i}
+
+
+def test_own_names_as_further_columns_and_other_ids(spark):
+    docs = spark.createDataFrame([(f"d{i}", nasty.prose(i // 2, 60), 1, 2, 3) for i in range(6)], "doc_id string, text string, _gone int, _n int, _nth int")
+    assert {(r.doc_id, r.keep_id) for r in B.near_duplicates(docs).collect()} == {("d1", "d0"), ("d3", "d2"), ("d5", "d4")}
+    kept = B.remove(docs.unionByName(docs.limit(1)))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == ["d0", "d2", "d4"]

@@ -165,3 +165,57 @@ def test_secrets_of_odd_rows(spark):
     assert row.text == "é id [SECRET], [SECRET]\nand more" and row.n_chars == len(row.text)
     assert {(r.doc_id, r.text) for r in out.where("doc_id <> 20").collect()} == {(r.doc_id, r.text) for r in docs.where("doc_id <> 20").collect()}
     assert S.scan(nasty.empty(spark)).collect() == [] and S.redact(nasty.empty(spark)).collect() == []
+
+
+def plain_gru(m, raw):
+    """(bytes, classes) probabilities, byte by byte."""
+    k = m.states[0].shape[1]
+    logits = np.tile(m.bias[:, 0].astype(float), (len(raw), 1))
+    for d in range(2):
+        h = np.zeros(k)
+        for t in range(len(raw)) if d == 0 else range(len(raw) - 1, -1, -1):
+            x, g = m.tables[d][:, raw[t]].astype(float), m.states[d].astype(float) @ h
+            z, r = (1 / (1 + np.exp(-(x[i * k : i * k + k] + g[i * k : i * k + k]))) for i in (0, 1))
+            h = (1 - z) * np.tanh(x[2 * k :] + r * g[2 * k :]) + z * h
+            logits[t] += m.outs[d].astype(float) @ h
+    e = np.exp(logits - logits.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def test_network_equals_a_plain_recurrent_one():
+    p = L.Params(steps=5, window=16)
+    m = L.train(np.random.default_rng(2).integers(97, 123, (60, 96)), np.arange(60) % 3, ["a", "b", "c"], p)
+    texts = [b"a text of more than one window, cut after every sixteen bytes", b"x", b"", "éü".encode()]
+    got, counts = L.judge(m, np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])), p)
+    for t, q, n in zip(texts, got, counts, strict=True):
+        each = [plain_gru(m, t[a : a + 16]) for a in range(0, len(t), 16)]
+        want = np.concatenate(each) if each else np.zeros((0, 3))
+        assert q == pytest.approx(want.mean(0) if len(t) else np.zeros(3), abs=1e-4)
+        assert n.tolist() == np.bincount(want.argmax(1), minlength=3).tolist()
+
+
+def test_gradients_are_those_of_differences():
+    rng = np.random.default_rng(3)
+    m = L.train(rng.integers(97, 101, (20, 9)), np.arange(20) % 2, ["a", "b"], L.Params(steps=1, hidden=3))
+    m.tables, m.states, m.outs, m.bias = [w.astype(float) for w in m.tables], [w.astype(float) for w in m.states], [w.astype(float) for w in m.outs], m.bias.astype(float)
+    xs, y = rng.integers(97, 101, (9, 6)), np.arange(6) % 2
+    _, grads = L.gradients(m, xs, y)
+    for w, g in zip(L.weights_of(m), grads, strict=True):
+        used = [i for i in np.ndindex(w.shape) if w.shape[1] != 256 or 97 <= i[1] < 101]
+        for i in [used[j] for j in rng.integers(0, len(used), 8)]:
+            was = w[i]
+            w[i] = was + 1e-5
+            up = L.gradients(m, xs, y)[0]
+            w[i] = was - 1e-5
+            down = L.gradients(m, xs, y)[0]
+            w[i] = was
+            assert g[i] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_long_texts_are_judged_in_parts(monkeypatch):
+    m = Q.train([b"aaaa bbbb cccc", b"!!!! ???? ####"] * 8, np.array([1, 0] * 8), Q.Params(epochs=2))
+    texts = [bytes(np.random.default_rng(n).integers(32, 127, n).astype(np.uint8)) for n in (1, 5, 6, 7, 11, 12, 13, 59, 60, 61, 66, 600, 1201)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    want = Q.probabilities(m, data, offsets, 6)
+    monkeypatch.setattr(Q, "SEGMENT", 10)
+    assert Q.probabilities(m, data, offsets, 6) == pytest.approx(want, abs=1e-5)

@@ -501,3 +501,127 @@ def test_ids_that_are_no_numbers(spark):
     assert {s.doc_id for r in P.packed(docs).collect() for s in r.spans} == {f"d{i:02d}" for i in range(20)} | {None}
     assert {r.doc_id for r in O.fingerprints(docs).collect()} == {f"d{i:02d}" for i in range(20)} | {None}
     assert {r.doc_id for r in H.shards(docs).collect()} == {f"d{i:02d}" for i in range(20)}
+
+
+def plain_shards(links, first, p):
+    """The rounds, document by document."""
+    weight: dict[int, dict[int, float]] = {}
+    for r in links:
+        weight.setdefault(r.a, {})[r.b] = r.weight
+    own = dict(first)
+    total = len(own)
+    least, most = int(total * (1 - p.slack) / p.shards), max(int(total * (1 + p.slack) / p.shards), -(-total // p.shards))
+    best, best_cut, stale = dict(own), None, 0
+    for turn in range(100):
+        state = {}
+        for a, near in weight.items():
+            w: dict[int, float] = {}
+            for b, x in near.items():
+                w[own[b]] = w.get(own[b], 0.0) + x
+            w = {s: round(x, 9) for s, x in w.items()}
+            to = max(w, key=lambda s: (w[s], -s))
+            mine = w.get(own[a], 0.0)
+            state[a] = (to, w[to] - mine, sum(w.values()) - mine)
+        cut = sum(x[2] for x in state.values())
+        stale = stale + 1 if best_cut is not None and cut > best_cut * (1 - p.least_progress) else 0
+        if best_cut is None or cut < best_cut:
+            best, best_cut = dict(own), cut
+        if not cut or stale >= 3:
+            return best
+        may = [a for a, (to, gain, _) in state.items() if gain > 1e-9 and to != own[a] and H_HASH(a, p.seed + 1 + turn) % 2 == 0]
+        asked = Counter((own[a], state[a][0]) for a in may)
+        sizes = Counter(own.values())
+        allowed = H.quotas(dict(asked), {s: sizes.get(s, 0) for s in range(p.shards)}, least, most)
+        went: Counter = Counter()
+        for a in sorted(may, key=lambda a: (-state[a][1], H_HASH(a, p.seed), a)):
+            way = (own[a], state[a][0])
+            if went[way] < allowed[way]:
+                went[way] += 1
+                state[a] = (*state[a], True)
+        own = {a: state[a][0] if len(state.get(a, ())) == 4 else s for a, s in own.items()}
+    raise AssertionError
+
+
+def H_HASH(a, seed):  # noqa: N802
+    return HASHES[a, seed]
+
+
+HASHES: dict[tuple[int, int], int] = {}
+
+
+def test_shards_equal_a_plain_propagation(spark):
+    import pyspark.sql.functions as F
+
+    r = random.Random(6)
+    pool = [nasty.prose(900 + k, 20) for k in range(40)]
+    rows = [(i, "\n".join(r.sample(pool[10 * (i % 4) : 10 * (i % 4) + 10], 3) + [r.choice(pool)])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    p = H.Params(shards=4, slack=0.1)
+    for seed in [p.seed + k for k in range(60)]:
+        for x in docs.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("h")).collect():
+            HASHES[x.doc_id, seed] = x.h
+    first = {x.doc_id: x.shard for x in H.first_shards(docs, p).collect()}
+    want = plain_shards(H.links(docs, p).collect(), first, p)
+    assert {x.doc_id: x.shard for x in H.shards(docs, p).collect()} == want != first
+
+
+def test_templates_that_raise():
+    def strict(turns):
+        if not turns:
+            raise IndexError("list index out of range")
+        if turns[-1][0] == "system":
+            raise ValueError("a conversation can't end so")
+        return C.chatml(turns)
+
+    text, spans, rewritten, failed, error = C.attempt(TURNS, strict)
+    assert text == C.chatml(TURNS) and failed == [0] and rewritten == [] and error is None
+    assert spans[0] is None and [text[a:b] for a, b in spans[1:]] == [C.chatml(TURNS[:2]), *(C.chatml([t]) for t in TURNS[2:])]
+    assert C.attempt(TURNS[:1], strict)[0] is None and C.attempt([], strict)[4].args == ("list index out of range",)
+    with pytest.raises(ValueError, match="end so"):
+        C.render(TURNS[:1], strict)
+
+
+def test_a_template_that_raises_keeps_the_job(spark):
+    def picky(turns):
+        if any("bad" in t for _, t in turns):
+            raise ValueError("bad word")
+        return C.chatml(turns)
+
+    rows = [(1, 0, "user", "bad"), (2, 0, "user", "fine"), (2, 1, "assistant", "yes")]
+    got = {r.conv_id: r for r in C.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), picky).collect()}
+    assert got[1].text is None and got[1].error == "ValueError: bad word" and got[1].failed_at == [0] and got[1].spans[0].start is None
+    assert got[2].text == C.chatml([("user", "fine"), ("assistant", "yes")]) and got[2].error is None and got[2].failed_at == []
+
+
+@pytest.mark.parametrize("name", sorted(C.TEMPLATES))
+def test_every_template_over_the_whole_table(spark, sf, name):
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows = c.collect()
+    for g in C.formatted(c, C.TEMPLATES[name]).collect():
+        turns = [t[1:] for t in sorted((r.turn, r.role, r.text) for r in rows if r.conv_id == g.conv_id)]
+        assert g.text == C.TEMPLATES[name](turns)
+        outputs = [C.TEMPLATES[name](turns[:i]) for i in range(len(turns) + 1)]
+        grown = [any(after == before[:k] + after[k : k + len(after) - len(before)] + before[k:] for k in range(len(before) + 1)) if len(after) >= len(before) else False for before, after in zip(outputs, outputs[1:], strict=False)]
+        assert g.rewrites == (not all(grown)) and len(g.rewritten_at) == grown.count(False)
+        assert all(g.text[s.start : s.end] or t[0] == "system" for s, t in zip(g.spans, turns, strict=True) if s.start is not None)
+
+
+def test_wrapped_notices_and_prose_after_tags():
+    policy = N.Policy()
+    a = N.automaton(policy)
+    for text, want in (
+        ("Permission is hereby granted, free of charge, to any\nperson obtaining a copy", [(0, "MIT", True)]),
+        (" * Redistribution and use in source\n * and binary forms", [(3, "BSD-3-Clause", True)]),
+        ("# x\n#   Licensed under the Apache License,\n#   Version 2.0.", [(8, "Apache-2.0", True)]),
+        ("it is under the\tGNU  Lesser General Public\r\n// License, version 3", [(16, "LGPL-3.0-only", False)]),
+        ("the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of", [(4, "GPL-3.0-or-later", False)]),
+        ("SPDX-License-Identifier: MIT. This file", [(0, "MIT", True)]),
+        ("SPDX-License-Identifier: MIT -- note", [(0, "MIT", True)]),
+        ("// x\n// SPDX-License-Identifier:\tApache-2.0+, or so\nMIT", [(8, "Apache-2.0+", True)]),
+        ("SPDX-License-Identifier: GPL-3.0-only OR MIT; see", [(0, "GPL-3.0-only OR MIT", True)]),
+        ("SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception", [(0, "Apache-2.0 WITH LLVM-exception", True)]),
+    ):
+        assert [(f["start"], f["expression"], f["allowed"]) for f in N.findings(text, a, policy)] == want, text
+    for text in ("a  b\n\n* c", "", " ", "x\n", "\n# y", "a\t", "no change"):
+        short, ours, theirs = N.unwrapped(text)
+        assert len(ours) == len(theirs) and "\n" not in short
