@@ -147,7 +147,7 @@ def formatted(conversations: DataFrame, template: Callable[[Turns], str] = chatm
 
 
 def turns(conversations: DataFrame, template: Callable[[Turns], str] = chatml) -> DataFrame:
-    """A row for each turn: conv_id, place from 0, turn, role, start, end, rewrites; text, the whole string, in the first of them."""
+    """A row for each turn: conv_id, place from 0, turn, role, start, end, rewrites, error; text, the whole string, in the first of them."""
     own = formatted(conversations, template)
-    every = own.select("conv_id", "text", "rewrites", F.posexplode("spans").alias("place", "s"))
-    return every.select("conv_id", F.col("place").cast("long").alias("place"), "s.*", "rewrites", F.when(F.col("place") == 0, F.col("text")).alias("text"))
+    every = own.select("conv_id", "text", "rewrites", "error", F.posexplode("spans").alias("place", "s"))
+    return every.select("conv_id", F.col("place").cast("long").alias("place"), "s.*", "rewrites", "error", F.when(F.col("place") == 0, F.col("text")).alias("text"))

@@ -200,3 +200,9 @@ def scan(docs: DataFrame, policy: Policy = Policy(), text: str = "text") -> Data
     tuned(docs.sparkSession)
     out = docs.select(id_of(docs), found(policy)(docs[text].cast("string")).alias("findings"))
     return out.withColumn("allowed", F.forall("findings", lambda x: x["allowed"]))
+
+
+def phrases(docs: DataFrame, policy: Policy = Policy(), text: str = "text") -> DataFrame:
+    """doc_id, identifier, n: how many notices of each licence a document has."""
+    every = scan(docs, policy, text).select("doc_id", F.explode("findings").alias("f")).where("f.kind = 'phrase'")
+    return every.groupBy("doc_id", F.col("f.expression").alias("identifier")).agg(F.count("*").alias("n"))
