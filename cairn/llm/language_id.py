@@ -3,11 +3,12 @@
 Every document is cut into consecutive windows of at most `window` bytes that cover all of it.  In a window one gated recurrent
 unit runs forwards and another backwards from zero states; their two states at a byte give the probabilities of the languages at
 this byte.  A document's probabilities are the means over all its bytes.  Training is backpropagation through time on the
-cross-entropy at every byte of windows drawn from a bounded sample of labelled documents.
+cross-entropy at every byte of windows drawn from a bounded sample of labelled documents, and of as many drawn windows of unlike input as a language
+has: random characters, numbers, encoded data, letters of other scripts.  A document whose best language stays under `min_probability` is rejected.
 
 Defined results: a text that is null or has no bytes has language null, probability 0 and is rejected.  Without any labelled row
 there is no model: every text has language null, probability null and is accepted.  With one label every text has it.  Equal
-probabilities go to the language that sorts first.  Repeated rows are judged alike, each on its own; other columns aren't looked at.
+probabilities go to the language that sorts first.  label_counts are in the order of the languages, last the bytes labelled as unlike any.  Repeated rows are judged alike, each on its own; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -101,9 +102,9 @@ def gradients(m: Model, xs: np.ndarray, y: np.ndarray) -> tuple[float, list[np.n
 
 
 def train(codes: np.ndarray, labels: np.ndarray, classes: list[str], p: Params) -> Model:
-    """codes: (examples, train_window) bytes; labels: their classes' numbers."""
+    """codes: (examples, train_window) bytes; labels: their classes' numbers, len(classes) for what is in none."""
     rng = np.random.default_rng(p.seed)
-    k, c, f4 = p.hidden, len(classes), np.float32
+    k, c, f4 = p.hidden, max(len(classes), int(labels.max()) + 1), np.float32
     m = Model(classes)
     m.tables = [(rng.standard_normal((3 * k, 256)) * 0.3).astype(f4) for _ in "fb"]
     m.states = [(rng.standard_normal((3 * k, k)) / np.sqrt(k)).astype(f4) for _ in "fb"]
@@ -127,7 +128,7 @@ def train(codes: np.ndarray, labels: np.ndarray, classes: list[str], p: Params)
 
 def label_windows(m: Model, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of windows of about equal sizes: the sums of the languages' probabilities over the bytes, and how many bytes have each label."""
-    t_n, least, b, c, k = int(sizes.max()), int(sizes.min()), len(starts), len(m.classes), m.states[0].shape[1]
+    t_n, least, b, c, k = int(sizes.max()), int(sizes.min()), len(starts), len(m.bias), m.states[0].shape[1]  # type: ignore[arg-type]
     at = starts[None, :] + np.arange(t_n)[:, None]
     np.minimum(at, len(data) - 1, out=at)
     xs = data[at].astype(np.intp)
@@ -173,7 +174,7 @@ def label_windows(m: Model, data: np.ndarray, starts: np.ndarray, sizes: np.ndar
 
 
 def judge(m: Model, data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text: mean probabilities (0 where it is empty) and counts of labels."""
+    """Of each text: the languages' mean probabilities (0 where it is empty), and counts of labels, those as unlike any last."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     per = -(-size // p.window)
@@ -182,13 +183,39 @@ def judge(m: Model, data: np.ndarray, offsets: np.ndarray, p: Params) -> tuple[n
     starts = offsets[:-1][doc] + nth * p.window
     sizes = np.minimum(p.window, offsets[1:][doc] - starts)
     order = np.argsort(sizes, kind="stable")
-    total, counts = np.zeros((n, len(m.classes))), np.zeros((n, len(m.classes)), np.int64)
+    c = len(m.bias)  # type: ignore[arg-type]
+    total, counts = np.zeros((n, c)), np.zeros((n, c), np.int64)
     for at in range(0, len(order), p.batch):
         own = order[at : at + p.batch]
         probabilities, labels = label_windows(m, data, starts[own], sizes[own])
         np.add.at(total, doc[own], probabilities)
         np.add.at(counts, doc[own], labels)
-    return total / np.maximum(size, 1)[:, None], counts
+    return total[:, : len(m.classes)] / np.maximum(size, 1)[:, None], counts
+
+
+#: Scripts by their first and last letters: Greek, Cyrillic, Arabic, Devanagari, kana, Chinese, Korean.  One that a labelled language is written in is told apart by its order of letters.
+_SCRIPTS = ((0x3B1, 0x3C9), (0x430, 0x44F), (0x627, 0x64A), (0x905, 0x939), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+_ENCODED = (b"0123456789abcdef", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", b"01")
+
+
+def unlike(n: int, size: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """n windows of bytes that are in no language."""
+    out = []
+    for i in range(n):
+        if i % 4 == 0:
+            raw = rng.integers(33, 127, size).astype(np.uint8).tobytes()
+        elif i % 4 == 1:
+            raw = b" ".join(str(x).encode() for x in rng.integers(0, 10 ** rng.integers(1, 10), size).tolist())
+        elif i % 4 == 2:
+            lo, hi = _SCRIPTS[int(rng.integers(0, len(_SCRIPTS)))]
+            spaces = rng.random(size) < (0.15 if hi < 0x3000 else 0.02)
+            raw = "".join(" " if s else chr(c) for c, s in zip(rng.integers(lo, hi + 1, size).tolist(), spaces, strict=True)).encode()
+        else:
+            chars = _ENCODED[int(rng.integers(0, len(_ENCODED)))]
+            raw = bytes(chars[j] for j in rng.integers(0, len(chars), size).tolist())
+        at = int(rng.integers(0, max(1, len(raw) - size + 1)))
+        out.append(np.resize(np.frombuffer(raw, np.uint8)[at : at + size], size))
+    return out
 
 
 def fit(docs: DataFrame, p: Params = Params(), text: str = "text", label: str = "lang", key: str = "doc_id") -> Model:
@@ -207,6 +234,9 @@ def fit(docs: DataFrame, p: Params = Params(), text: str = "text", label: str =
             labels.append(number[r[label]])
     if len(classes) == 1:
         return Model(classes)
+    other = unlike(-(-len(codes) // len(classes)), p.train_window, rng)
+    codes += other
+    labels += [len(classes)] * len(other)
     return train(np.stack(codes).astype(np.intp), np.array(labels), classes, p)
 
 

@@ -219,3 +219,15 @@ def test_long_texts_are_judged_in_parts(monkeypatch):
     want = Q.probabilities(m, data, offsets, 6)
     monkeypatch.setattr(Q, "SEGMENT", 10)
     assert Q.probabilities(m, data, offsets, 6) == pytest.approx(want, abs=1e-5)
+
+
+def test_unlike_input_is_rejected_and_documents_stay(spark, small):
+    p = L.Params()
+    m = L.fit(small, p)
+    r = random.Random(4)
+    odd = [" ".join(str(r.randint(0, 99999)) for _ in range(60)) for _ in range(20)] + ["".join(chr(r.randint(33, 126)) for _ in range(400)) for _ in range(20)]
+    odd += ["".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(150)) for _ in range(20)] + ["".join(r.choice("0123456789abcdef") for _ in range(400)) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    assert np.mean([x.accepted for x in L.languages(rows, p, m).collect()]) < 0.05
+    kept = L.languages(small.where("n_chars >= 40"), p, m).join(small.select("doc_id", "lang"), "doc_id").collect()
+    assert np.mean([x.accepted for x in kept]) > 0.999 and np.mean([x.language == x.lang for x in kept]) > 0.99
