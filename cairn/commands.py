@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections import deque
 from collections.abc import Callable
 from typing import Any
@@ -16,7 +17,7 @@ from . import schema as S
 from .config import Config
 from .database import Database
 from .operators import conflict
-from .sources.files import scratch
+from .sources.files import Files, scratch
 from .streaming import feed as stream
 
 
@@ -78,7 +79,7 @@ class Commands:
         """From now on commits go to a feed folder, and a stream sends each client its part, a tick at a time; what was before comes with a full sync."""
         if self.running:
             return
-        self.folder = self.folder or f"{scratch(self.spark)}/replication-{id(self)}"
+        self.folder = self.folder or Files(self.spark).temporary(f"{scratch(self.spark)}/replication-{uuid.uuid4().hex}")
         if self._append not in self._db().on_commit:
             self._db().on_commit.append(self._append)
             self._append(self.spark.createDataFrame([], stream.FEED))  # the folder is there before the stream

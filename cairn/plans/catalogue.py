@@ -12,7 +12,7 @@ from .. import schema as S
 from ..functions import masks, values
 from ..functions.json import decode, encode
 from ..operators import conflict, delta, entity, ops, scan
-from ..sources.files import scratch
+from ..sources.files import Files, scratch
 from ..sources.store import Store
 from ..streaming import feed as stream
 
@@ -31,6 +31,11 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return add
 
 
+def temporary(spark: SparkSession) -> str:
+    """A new folder that goes when the application ends."""
+    return Files(spark).temporary(f"{scratch(spark)}/{uuid.uuid4().hex}")
+
+
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -464,13 +469,13 @@ def schema_migration(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey AS entity_id, c_acctbal, c_nationkey FROM customer")
 def snapshot_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    store = Store(spark, f"{scratch(spark)}/{uuid.uuid4().hex}")
+    store = Store(spark, temporary(spark))
     store.write({"customer": read(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), "c_acctbal", "c_nationkey")}, 1)
     return store.read()[1]["customer"]
 
 
 def _logged(spark: SparkSession, sf: str) -> Store:
-    store = Store(spark, f"{scratch(spark)}/{uuid.uuid4().hex}")
+    store = Store(spark, temporary(spark))
     store.append("part", wal(spark, sf))
     return store
 
@@ -492,7 +497,7 @@ def log_compact(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_APPLIED)
 def stream_replica(spark: SparkSession, sf: str) -> DataFrame:
-    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    folder = temporary(spark)
     stream.append(event_ops(spark, sf).withColumn("data", F.to_json("data")).select("version", "seq", "op", "table_id", "entity_id", "data"), f"{folder}/feed")
     replica = stream.Replica(spark, f"{folder}/replica")
     replica.follow(stream.read(spark, f"{folder}/feed")).awaitTermination()
@@ -501,7 +506,7 @@ def stream_replica(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events FROM events GROUP BY ALL")
 def stream_windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
-    folder = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    folder = temporary(spark)
     events = read(spark, sf, "events").select("ts", "event_type")
     stream.append(events, f"{folder}/events")
     stream.to_folder(stream.windowed(stream.read(spark, f"{folder}/events", events.schema), "ts", "1 day", "event_type"), f"{folder}/counts", "complete", f"{folder}/checkpoint").awaitTermination()

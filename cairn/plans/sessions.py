@@ -19,7 +19,7 @@ from ..database import CommitError, Database
 from ..functions import tables as own_functions
 from ..functions import values
 from ..operators import conflict, delta, entity, ops, scan
-from ..sources.files import scratch
+from ..sources.files import Files, scratch
 from ..sources.store import Store, export_csv, export_json, import_json
 from ..streaming import feed as stream
 from ..streaming import sync
@@ -37,7 +37,7 @@ IDS = {"region": 3, "nation": 5}
 
 
 def folder(spark: SparkSession) -> str:
-    return f"{scratch(spark)}/{uuid.uuid4().hex}"
+    return Files(spark).temporary(f"{scratch(spark)}/{uuid.uuid4().hex}")
 
 
 def world(spark: SparkSession, sf: str, store: Store | None = None) -> tuple[Database, dict[int, int], list[tuple[int, int, int]]]:

@@ -70,6 +70,13 @@ class Files:
         fs, p = self._at(path)
         fs.delete(p, True)
 
+    def temporary(self, path: str) -> str:
+        """Makes a folder that goes when the application ends."""
+        fs, p = self._at(path)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        return path
+
     def move(self, path: str, to: str) -> None:
         fs, p = self._at(path)
         target = self.jvm.org.apache.hadoop.fs.Path(to)
