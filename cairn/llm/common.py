@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import Any
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import shipped
-from ..sources.files import Files
+from ..sources.files import Files, scratch
 
 #: Bytes of text in an Arrow batch.  Operators work on pieces of CHUNK_BYTES, so a worker's memory doesn't follow the batch.
 BATCH_BYTES = 8 << 20
@@ -37,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not (folder := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()):
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(scratch(spark))
         folder = sc.getCheckpointDir()
     return folder  # type: ignore[return-value]
 
@@ -49,14 +48,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 class Written:
-    """Tables of a loop, as Parquet in the shared folder.
+    """Tables of a loop, as Parquet in the shared folder, until the application ends.
 
     A checkpoint ends a plan's lineage but keeps the constraints on its columns, which double with each round of a loop.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.files = spark, Files(spark)
-        self.folder = f"{shared_folder(spark)}/loop-{uuid.uuid4().hex}"
+        self.folder = self.files.temporary(f"{shared_folder(spark)}/loop-{uuid.uuid4().hex}")
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{self.folder}/{name}")

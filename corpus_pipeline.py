@@ -6,13 +6,12 @@ treated as the operators' docstrings say.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import bag_minhash, decontaminate, language_id, packing, secrets
-from cairn.llm.common import shared_folder, tuned
+from cairn.llm.common import Written, tuned
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +53,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of the table documents; what a stage gives is written as Parquet beside the checkpoints and read by the next."""
-    tuned(spark)
+    tables = Written(tuned(spark))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    own = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{own}/{k}")
-        docs = spark.read.parquet(f"{own}/{k}")
+        docs = tables.write(stage(spark, docs, sf_dir), str(k))
+        if k > 1:
+            tables.drop(str(k - 2))  # what the stage before this one read
     return docs
