@@ -169,3 +169,36 @@ def test_search_and_predicates(spark):
 def test_values_are_never_parsed(spark):
     df = spark.createDataFrame([("x' OR '1'='1",), ("x",)], "a string")
     assert df.where(scan.predicate("a", "=", "x' OR '1'='1")).count() == 1
+
+
+def test_joins_follow_foreign_keys(spark):
+    from cairn import schema as S
+    from cairn.operators import scan
+
+    text = '[database]\nname = "d"\n[tables.a]\nfields = [{name = "x", type = "i64", primary_key = true}]\n[tables.b]\nfields = [{name = "y", type = "i64", foreign_key = "a.x"}]\n[tables.c]\nfields = [{name = "z", type = "i64"}]\n'
+    tables = {"a": spark.createDataFrame([(1,), (2,)], "x long"), "b": spark.createDataFrame([(1,), (1,), (9,)], "y long"), "c": spark.createDataFrame([(5,)], "z long")}
+    q = lambda source: scan.Query(tables, [source], schema=S.loads(text))
+    assert q("b").link("b", "a") == ("b.y", "a.x") and q("b").link("a", "b") == ("a.x", "b.y")
+    assert sorted(tuple(r) for r in q("b").join_linked("a").build().collect()) == [(1, 1), (1, 1)]
+    assert sorted((r.x, r.y) for r in q("a").join_linked("b", kind="left").order_by("a.x").build().collect() if r.y is None) == [(2, None)]
+    with pytest.raises(ValueError, match="linked with 0 of a"):
+        q("a").join_linked("c")
+    with pytest.raises(ValueError, match="need a schema"):
+        scan.Query(tables, ["a"]).link("a", "b")
+    assert [r.y for r in q("b").order_by("b.y", True).limit(2, 1).select("b.y").build().collect()] == [1, 1]
+
+
+def test_pages_after_a_key(spark):
+    from cairn.operators import scan
+
+    df = spark.range(100)
+    assert [r.id for r in scan.page_after(df, "id", 3).collect()] == [0, 1, 2] and [r.id for r in scan.page_after(df, "id", 3, 50).collect()] == [51, 52, 53]
+    assert scan.page_after(df, "id", 3, 99).collect() == []
+
+
+def test_sealed_entries(spark):
+    from cairn.operators import ops
+
+    log = ops.sealed(spark.createDataFrame([(1, 0, None), (1, 1, "x")], "transaction_id long, sequence long, data string"))
+    assert ops.tampered(log).collect() == []
+    assert [r.sequence for r in ops.tampered(log.replace("x", "y", "data")).collect()] == [1]

@@ -64,3 +64,25 @@ def test_heartbeat(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert spark.table("beat").count() == 1
+
+
+def test_a_replica_is_read_and_compacted(spark, tmp_path):
+    rows = [(1, 0, "insert", 1, 7, "a"), (2, 0, "insert", 2, 7, "b"), (3, 0, "insert", 1, 8, "c"), (4, 0, "delete_entity", None, 7, None), (5, 0, "create_entity", None, 7, None), (6, 0, "insert", 1, 7, "d")]
+    S.append(spark.createDataFrame(rows, S.FEED), f"{tmp_path}/feed")
+    r = S.Replica(spark, f"{tmp_path}/replica")
+    r.follow(S.read(spark, f"{tmp_path}/feed")).awaitTermination()
+    for _ in range(2):
+        assert (r.get(1, 7), r.get(2, 7), r.get(1, 8), r.contains(1, 8), r.contains(2, 8), r.version()) == ("d", None, "c", True, False, 6)
+        assert {tuple(x) for x in r.table(1).collect()} == {(7, "d"), (8, "c")}
+        r.compact()
+    S.append(spark.createDataFrame([(2, 0, "insert", 2, 7, "b"), (7, 0, "delete", 1, 8, None)], S.FEED), f"{tmp_path}/feed")  # one comes again, late
+    r.follow(S.read(spark, f"{tmp_path}/feed")).awaitTermination()
+    assert {tuple(x) for x in r.table(1).collect()} == {(7, "d")} and r.table(2).collect() == [] and r.version() == 7
+
+
+def test_publishing_tells_the_version_without_clients(spark, tmp_path):
+    S.append(spark.createDataFrame([(v, 0, "insert", 1, v, None) for v in (1, 2, 3)], S.FEED), f"{tmp_path}/feed")
+    seen, sent = [], []
+    S.publish(S.read(spark, f"{tmp_path}/feed"), S.Clients(spark).frame, lambda df, _: sent.extend(df.collect()), f"{tmp_path}/c", seen=seen.append).awaitTermination()
+    assert seen == [3] and sent == []
+    assert len(S.Clients(spark).add()) == 36
