@@ -150,10 +150,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sample_per_class(df: DataFrame, key: str, label: str, per_class: int) -> DataFrame:
-    """Up to per_class values of key for each label: those of least hash, whatever the partitions.  Only these two columns are read, and each partition passes on at most per_class rows a label."""
+    """Up to per_class values of key for each label: those of least hash, whatever the partitions.
+
+    Only these two columns are read.  Ranks are dense, so repeated rows have one; each partition passes on the rows of at most per_class values a label, and no others are shuffled.
+    """
     w = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(17)), F.col(key))
-    few = df.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull()).distinct()
-    return few.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_class).drop("_n")
+    few = df.select(key, label).where(F.col(key).isNotNull() & F.col(label).isNotNull())
+    return few.withColumn("_n", F.dense_rank().over(w)).where(F.col("_n") <= per_class).drop("_n").distinct()
 
 
 def id_of(df: DataFrame, name: str = "doc_id") -> Column:
