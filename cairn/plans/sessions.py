@@ -210,7 +210,7 @@ def full_sync(spark: SparkSession, sf: str) -> DataFrame:
     """A table sent in chunks and put together again."""
     rows = read(spark, sf, "customer").select(F.col("c_custkey").alias("entity_id"), "c_name", "c_acctbal")
     chunks = sync.full({"customer": rows}, 1, rows_per_chunk=100)
-    at = folder(spark)
+    at = f"{folder(spark)}/chunks"
     chunks.write.parquet(at)  # type: ignore[union-attr]
     return sync.received(spark.read.parquet(at), "customer")
 
