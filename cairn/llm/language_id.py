@@ -4,7 +4,8 @@ Every document is cut into consecutive windows of at most `window` bytes that co
 unit runs forwards and another backwards from zero states; their two states at a byte give the probabilities of the languages at
 this byte.  A document's probabilities are the means over all its bytes.  Training is backpropagation through time on the
 cross-entropy at every byte of windows drawn from a bounded sample of labelled documents, and of as many drawn windows of unlike input as a language
-has: random characters, numbers, encoded data, letters of other scripts.  A document whose best language stays under `min_probability` is rejected.
+has: random characters, numbers, encoded data, letters of other scripts.  A document of `least_bytes` or more whose best language stays under
+`min_probability` is rejected.
 
 Defined results: a text that is null or has no bytes has language null, probability 0 and is rejected.  Without any labelled row
 there is no model: every text has language null, probability null and is accepted.  With one label every text has it.  Equal
@@ -38,6 +39,7 @@ class Params:
     rate: float = 0.02
     seed: int = 7
     min_probability: float = 0.3  # below it a document is rejected
+    least_bytes: int = 24  # shorter texts show too little to be unlike any language, and stay
 
 
 @dataclass
@@ -260,7 +262,7 @@ def identify(m: Model, p: Params = Params()):  # noqa: ANN201
             best = mean.argmax(1)
             for i in range(b - a):
                 q = float(mean[i, best[i]]) if size[i] else 0.0
-                out.append({"language": m.classes[best[i]] if size[i] else None, "probability": q, "label_counts": counts[i].tolist(), "accepted": bool(size[i]) and q >= p.min_probability})
+                out.append({"language": m.classes[best[i]] if size[i] else None, "probability": q, "label_counts": counts[i].tolist(), "accepted": bool(size[i]) and (q >= p.min_probability or bool(size[i] < p.least_bytes))})
         return pa.array(out, of)
 
     return F.arrow_udf(one, RESULT)

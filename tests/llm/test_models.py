@@ -231,3 +231,5 @@ def test_unlike_input_is_rejected_and_documents_stay(spark, small):
     assert np.mean([x.accepted for x in L.languages(rows, p, m).collect()]) < 0.05
     kept = L.languages(small.where("n_chars >= 40"), p, m).join(small.select("doc_id", "lang"), "doc_id").collect()
     assert np.mean([x.accepted for x in kept]) > 0.999 and np.mean([x.language == x.lang for x in kept]) > 0.99
+    short = spark.createDataFrame([(1, "A."), (2, "12"), (3, ""), (4, None), (5, "0" * 24)], "doc_id long, text string")
+    assert {x.doc_id for x in L.languages(short, p, m).collect() if x.accepted} == {1, 2}
