@@ -232,7 +232,8 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), text: str = "text") -
     """A row for each document that has an equal or similar one of lesser id in its group: doc_id and keep_id, the group's least id."""
     tuned(docs.sparkSession)
     texts = docs.select(id_of(docs), docs[text].cast("string").alias("t")).where("doc_id is not null and t is not null")
-    sketches = checkpointed(texts.select("doc_id", sketched(p)("t").alias("s")).where("s is not null").select("doc_id", "s.*"))
+    # filtered after the checkpoint: before it the condition would be pushed below the sketches and make them twice, in two workers a task
+    sketches = checkpointed(texts.select("doc_id", sketched(p)("t").alias("s"))).where("s is not null").select("doc_id", "s.*")
     equal = sketches.groupBy("f1", "f2").agg(F.min("doc_id").alias("keep"))
     copies = sketches.select("doc_id", "f1", "f2").join(equal, ["f1", "f2"]).where("doc_id <> keep").select(F.col("doc_id").alias("a"), F.col("keep").alias("b"))
     kept = sketches.join(equal, ["f1", "f2"]).where("doc_id = keep").select("doc_id", F.explode("bands").alias("band"))

@@ -284,7 +284,9 @@ def in_runs(counted: DataFrame, p: Params, tables: Written) -> DataFrame:
         here = counts.get((False, part), 0) if without else 0  # those with doc_id stand before those without
         starts.append((without, part, total[without] - here))
         total[without] += counts[without, part]
-    known = spark.createDataFrame(starts, "without boolean, part long, start long")
+    # from Arrow, as rows would be read by Python workers of another kind, which stay beside those of the functions
+    columns = zip(*starts, strict=True) if starts else ([], [], [])
+    known = spark.createDataFrame(pa.table([pa.array(x, kind) for x, kind in zip(columns, (pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["without", "part", "start"]))
     before = -(-total[False] // p.docs_per_run)  # runs of rows with doc_id
     rank = F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     run = F.floor(rank / p.docs_per_run) + F.when(F.col("without"), F.lit(before)).otherwise(0)

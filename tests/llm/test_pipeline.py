@@ -8,7 +8,7 @@ from test_dedup import brute_force as duplicates
 from test_text import brute_force as leaks
 
 import corpus_pipeline as C
-from cairn.llm import bag_minhash, decontaminate, language_id, secrets
+from cairn.llm import bag_minhash, decontaminate, language_id, packing, secrets
 
 
 def test_windows_equal_plain_stages(spark, sf):
@@ -48,3 +48,19 @@ def test_stages_take_odd_rows_and_keep_columns(spark, sf, tmp_path):
             out.write.mode("overwrite").parquet(f"{tmp_path}/{k}")
             docs = spark.read.parquet(f"{tmp_path}/{k}")
         assert "spans" in docs.columns
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_dedup_sketches_texts_once(spark, sf, monkeypatch):
+    plans, write = [], bag_minhash.checkpointed
+    monkeypatch.setattr(bag_minhash, "checkpointed", lambda df: plans.append(plan(df)) or write(df))
+    bag_minhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert [x.count("ArrowEvalPython") for x in plans if "ArrowEvalPython" in x] == [1]
+
+
+def test_packing_starts_no_workers_of_rdds(spark, sf):
+    for docs in (spark.read.parquet(f"{sf}/documents.parquet"), nasty.empty(spark)):
+        assert "ExistingRDD" not in plan(packing.packed(docs))
