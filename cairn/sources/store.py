@@ -4,6 +4,8 @@
     <root>/snapshots/v=<version>/registry/*.parquet   the entities, if the database has a registry
     <root>/log/<table>/bucket=<version // log_bucket>/*.parquet   ops with time, checksum and attempt
     <root>/marks/bucket=<version // log_bucket>/*.json   commit and rollback markers, each for a transaction's ops in all tables
+    <root>/wide/log/<table>/width=<versions>/bucket=<version // width>/*.parquet   the same of appends that span many buckets
+    <root>/wide/marks/width=<versions>/bucket=<version // width>/*.parquet   their markers
     <root>/entities/<first op>-<last op>-<attempt>.json   creations and deletions of entities
     <root>/current.json   the version that readers see
 
@@ -31,6 +33,8 @@ from .files import Files
 
 MARKS = "transaction_id bigint, op string, attempt string, timestamp bigint, bucket bigint"
 KEPT = ("attempt", "timestamp", "checksum", "bucket")  # columns that the log adds
+FOLDERS = 64  # that an append makes at most: files grow with its rows, not with its versions
+WIDTH = T.StructType().add("width", "long")
 REGISTRY = "registry"
 
 
@@ -99,25 +103,42 @@ class Store:
 
     # log
 
-    def _bucket(self) -> Column:
-        return F.floor(F.col("transaction_id") / self.config.log_bucket).alias("bucket")
+    def _bucket(self, width: int | None = None) -> Column:
+        return F.floor(F.col("transaction_id") / (width or self.config.log_bucket)).alias("bucket")
+
+    def _wide(self, *names: str) -> str:
+        return "/".join((self.root, "wide", *names))
+
+    def _width(self, ops: DataFrame) -> int:
+        """Versions in each folder of an append: a bucket's, doubled until FOLDERS hold them all."""
+        low, high = ops.agg(F.min("transaction_id"), F.max("transaction_id")).first()
+        width = self.config.log_bucket
+        while low is not None and high // width - low // width >= FOLDERS:
+            width *= 2
+        return width
 
     def append(self, table: str, ops: DataFrame, attempt: str | None = None) -> None:
         """ops: (transaction_id, sequence, op, key, data), whole transactions with their markers.
 
         With an attempt, part of transactions whose markers mark() writes once all parts are there.
         """
-        rows = ops if attempt else ops.where(~F.col("op").isin("commit", "rollback"))
-        own = attempt or uuid.uuid4().hex
+        own, width = attempt or uuid.uuid4().hex, self.config.log_bucket if attempt else self._width(ops)
+        rows = (ops if attempt else ops.where(~F.col("op").isin("commit", "rollback"))).select("*", self._bucket(width))
+        # a folder's rows come to few tasks, so that they are in few files whatever the number of tasks; what is the same in all rows isn't shuffled
+        rows = rows.coalesce(1) if attempt else rows.hint("rebalance", "bucket")
         added = rows.withColumns({"attempt": F.lit(own), "timestamp": F.col("timestamp") if "timestamp" in ops.columns else micros()})
-        sealed = added.withColumn("checksum", entry_checksum(added)).select("*", self._bucket())
+        sealed = added.withColumn("checksum", entry_checksum(added.drop("bucket"))).select(*(c for c in added.columns if c != "bucket"), "checksum", "bucket")
         if not self.files.exists(f"{self._log(table)}/_schema.json"):
             self.files.write(f"{self._log(table)}/_schema.json", sealed.schema.json())
-        # a bucket's rows come to few tasks, so that they are in few files whatever the number of tasks
-        (sealed.coalesce(1) if attempt else sealed.hint("rebalance", "bucket")).write.mode("append").partitionBy("bucket").option("compression", self.config.compression).parquet(self._log(table))
+        wide = width > self.config.log_bucket
+        sealed.write.mode("append").partitionBy("bucket").option("compression", self.config.compression).parquet(self._wide(self.config.log_dir, table, f"width={width}") if wide else self._log(table))
         if not attempt:
-            marks = ops.where(F.col("op").isin("commit", "rollback")).select("transaction_id", "op", F.lit(own).alias("attempt"), micros().alias("timestamp"), self._bucket())
-            marks.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").json(f"{self.root}/marks")
+            marks = ops.where(F.col("op").isin("commit", "rollback")).select("transaction_id", "op", self._bucket(width)).hint("rebalance", "bucket")
+            writer = marks.select("transaction_id", "op", F.lit(own).alias("attempt"), micros().alias("timestamp"), "bucket").write.mode("append").partitionBy("bucket")
+            if wide:
+                writer.option("compression", self.config.compression).parquet(self._wide("marks", f"width={width}"))
+            else:
+                writer.json(f"{self.root}/marks")
 
     def mark(self, version: int, attempt: str, op: str = "commit") -> None:
         """Ends a transaction that append() wrote in parts: one file, so it's there or it isn't."""
@@ -125,15 +146,18 @@ class Store:
         self.files.write(f"{self.root}/marks/bucket={version // self.config.log_bucket}/{version}-{attempt}.json", json.dumps(row) + "\n")
 
     def _since(self, df: DataFrame, since: int, until: int | None) -> DataFrame:
-        df = df.where(F.col("bucket") >= (since + 1) // self.config.log_bucket).where(F.col("transaction_id") > since)
-        return df if until is None else df.where(F.col("bucket") <= until // self.config.log_bucket).where(F.col("transaction_id") <= until)
+        width = F.col("width") if "width" in df.columns else F.lit(self.config.log_bucket)
+        df = df.where((F.col("bucket") + 1) * width > since + 1).where(F.col("transaction_id") > since)
+        df = df if until is None else df.where(F.col("bucket") * width <= until).where(F.col("transaction_id") <= until)
+        return df.withColumn("bucket", self._bucket()).drop("width") if "width" in df.columns else df
 
     def entries(self, table: str, since: int = -1, until: int | None = None) -> DataFrame | None:
         """All that was written for the table, with attempt, timestamp and checksum; only the buckets asked for are read."""
         if not self.files.exists(f"{self._log(table)}/_schema.json"):
             return None
         schema = T.StructType.fromJson(json.loads(self.files.read(f"{self._log(table)}/_schema.json")))
-        return self._since(self.spark.read.schema(schema).parquet(self._log(table)), since, until)
+        own, at = self._since(self.spark.read.schema(schema).parquet(self._log(table)), since, until), self._wide(self.config.log_dir, table)
+        return own.unionByName(self._since(self.spark.read.schema(T.StructType([*schema, *WIDTH])).parquet(at), since, until)) if self.files.exists(at) else own
 
     def log(self, table: str, since: int = -1, until: int | None = None) -> DataFrame | None:
         """Ops of transactions after `since`, without markers, finished or not."""
@@ -142,9 +166,11 @@ class Store:
 
     def finished(self, since: int = -1, until: int | None = None) -> DataFrame:
         """(transaction_id, attempt) of transactions with a commit marker and no rollback marker."""
-        if not self.files.exists(f"{self.root}/marks"):
-            return self.spark.createDataFrame([], "transaction_id bigint, attempt string")
-        marks = self._since(self.spark.read.schema(MARKS).json(f"{self.root}/marks"), since, until)
+        marks = self.spark.createDataFrame([], MARKS)
+        if self.files.exists(f"{self.root}/marks"):
+            marks = self._since(self.spark.read.schema(MARKS).json(f"{self.root}/marks"), since, until)
+        if self.files.exists(self._wide("marks")):
+            marks = marks.unionByName(self._since(self.spark.read.schema(f"{MARKS}, width bigint").parquet(self._wide("marks")), since, until))
         return marks.groupBy("transaction_id", "attempt").agg(F.bool_and(F.col("op") == "commit").alias("ok")).where("ok").drop("ok")
 
     def committed(self, table: str, since: int = -1, until: int | None = None, finished: DataFrame | None = None) -> DataFrame | None:
@@ -219,9 +245,11 @@ class Store:
         if version not in self.versions():
             self.write(tables, version, key, self.entities())
         gone = [(self._snapshot(v), f"v={v:012d}") for v in self.versions()[:-1]]
-        logs = {f"log/{name}": self._log(name) for name in self.logged_tables()} | {"marks": f"{self.root}/marks"}
-        for to, at in logs.items():
-            gone += [(f"{at}/{b}", f"{to}/{b}") for b in self.files.names(at) if b.startswith("bucket=") and (int(b[7:]) + 1) * self.config.log_bucket <= version + 1]
+        logs = {f"log/{name}": (self._log(name), self.config.log_bucket) for name in self.logged_tables()} | {"marks": (f"{self.root}/marks", self.config.log_bucket)}
+        for kind in [*((self.config.log_dir, name) for name in self.logged_tables()), ("marks",)]:
+            logs |= {"/".join(("wide", *kind, w)): (self._wide(*kind, w), int(w[6:])) for w in self.files.names(self._wide(*kind)) if w.startswith("width=")}
+        for to, (at, width) in logs.items():
+            gone += [(f"{at}/{b}", f"{to}/{b}") for b in self.files.names(at) if b.startswith("bucket=") and b[7:].lstrip("-").isdigit() and (int(b[7:]) + 1) * width <= version + 1]
         seq = self.manifest(version).get("seq", 0)
         gone += [(f"{self.root}/entities/{n}", f"entities/{n}") for n in self.files.names(f"{self.root}/entities") if n.endswith(".json") and int(n.split("-")[1]) < seq]
         for at, to in gone:

@@ -169,3 +169,48 @@ def test_fragmented_tables_are_compacted(spark, tmp_path):
     assert db.compact_if_fragmented(0.5) == [] and db.compact_if_fragmented() == ["a"] and db.fragmentation("a") == 0
     assert rows(db, "a") == {(e, e) for e in ids[4:]}
     db.close()
+
+
+def test_appends_of_many_versions_make_few_folders(spark, tmp_path):
+    store = Store(spark, str(tmp_path), Config(log_bucket=2))
+    last = 1000
+
+    def state(until, more=()):
+        rows = {}
+        for t in range(1, until + 1):
+            if t % 3 and t % 5:
+                rows[t % 7] = t
+        return rows | dict(more)
+
+    def recovered(**at):
+        version, tables = store.recover(**at)
+        return version, {r.entity_id: r.x for r in tables["t"].collect()}
+
+    ops = spark.range(1, last + 1).select(F.col("id").alias("transaction_id"), F.lit(0).cast("long").alias("sequence"), F.lit("update").alias("op"), (F.col("id") % 7).alias("entity_id"), F.struct(F.col("id").alias("x")).alias("data"))
+    marks = ops.where("transaction_id % 3 <> 0").withColumns({"op": F.when(F.col("transaction_id") % 5 == 0, "rollback").otherwise("commit"), "entity_id": F.lit(None).cast("long"), "data": F.lit(None).cast("struct<x:bigint>")})
+    store.append("t", ops.unionByName(marks))
+    folders = [p for p in tmp_path.rglob("bucket=*") if p.is_dir()]
+    assert 32 <= len([p for p in folders if "log" in p.parts]) <= 64 and len(folders) <= 128
+    assert store.entries("t").count() == last and store.tampered("t").isEmpty() and store.log("t", 990, 995).count() == 5
+    assert store.entries("t").where("bucket <> transaction_id div 2").isEmpty()
+    assert recovered() == (998, state(last)) and recovered(until=501) == (499, state(501))
+    for version, mark in ((1001, True), (1002, False)):  # in parts, beside the wide folders
+        store.append("t", spark.createDataFrame([(version, 0, "update", 3, (version,))], ops.schema), f"attempt-{version}")
+        if mark:
+            store.mark(version, f"attempt-{version}")
+    assert recovered() == (1001, state(last, {3: 1001})) and recovered(until=1000) == (998, state(last))
+    assert store.compact() == 1001 and recovered() == (1001, state(last, {3: 1001}))
+    assert store.entries("t").select("transaction_id").distinct().count() <= 2 + 32 and store.entries("t", 1001).count() == 1
+    store.mark(1002, "attempt-1002")
+    assert recovered() == (1002, state(last, {3: 1002}))
+
+
+def test_versions_that_a_wide_append_left_open(spark, tmp_path):
+    store = Store(spark, str(tmp_path), Config(log_bucket=1))
+    rows = [(t, 0, "insert", t, (t,)) for t in range(1, 201)] + [(t, None, "commit", None, None) for t in range(1, 151)]
+    store.append("t", spark.createDataFrame(rows, "transaction_id long, sequence long, op string, entity_id long, data struct<x:bigint>"))
+    assert store.compact(archive=True) == 150 and store.recover()[1]["t"].count() == 150
+    left = {r.transaction_id for r in store.entries("t").collect()}
+    assert set(range(151, 201)) <= left <= set(range(148, 201)) and (tmp_path / "archive/wide/log/t/width=4/bucket=0").is_dir()
+    store.append("t", spark.createDataFrame([(160, 0, "delete", 5, None), (160, None, "commit", None, None)], "transaction_id long, sequence long, op string, entity_id long, data struct<x:bigint>"))
+    assert {r.entity_id for r in store.recover()[1]["t"].collect()} == set(range(1, 151)) - {5}
