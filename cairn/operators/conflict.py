@@ -71,8 +71,12 @@ def fields(found: DataFrame, *names: str) -> DataFrame:
 
 
 def log(found: DataFrame, tables: DataFrame, n: int = 1000, arrival: tuple[str, ...] = ("entity_id", "table_id"), more: tuple[str, ...] = ()) -> DataFrame:
-    """The last n conflicts by arrival, the columns that number them, with their table's name, or its id as text, and the columns `more`."""
-    hit = ring(found.where("conflict"), n, *arrival).join(tables, "table_id", "left")
+    """The last n conflicts by arrival, the columns that number them, with their table's name, or its id as text, and the columns `more`.
+
+    Of those that arrived together the least by table, entity and op stay, however the rows are spread.
+    """
+    ties = tuple(c for c in ("table_id", "entity_id", "op") if c not in arrival)
+    hit = ring(found.where("conflict"), n, *arrival, ties=ties).join(tables, "table_id", "left")
     return hit.select(
         F.coalesce("table_name", F.col("table_id").cast("string")).alias("table_name"), "table_id", "entity_id", "op", F.col("current").alias("server_value"), F.col("new").alias("client_value"), *more
     )

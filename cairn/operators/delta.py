@@ -41,9 +41,9 @@ def summary(feed: DataFrame) -> DataFrame:
     )
 
 
-def ring(df: DataFrame, n: int, *order: str) -> DataFrame:
-    """The last n rows by order: a top-k, so each partition passes on n rows."""
-    return df.orderBy(*(F.col(c).desc() for c in order)).limit(n)
+def ring(df: DataFrame, n: int, *order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The last n rows by order, of equal ones the first by ties: a top-k, so each partition passes on n rows."""
+    return df.orderBy(*(F.col(c).desc() for c in order), *(F.col(c).asc() for c in ties)).limit(n)
 
 
 def numbered(df: DataFrame, within: str, *order: str | Column) -> DataFrame:

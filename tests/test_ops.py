@@ -123,6 +123,17 @@ def test_conflicts(spark):
     assert [(r.table_name, r.entity_id) for r in conflict.log(found, tables, 2).collect()] == [("1", 5), ("1", 4)]
 
 
+def test_conflicts_that_arrive_together(spark):
+    rows = [(k, "insert", None, k, k % 2) for k in (9, 3, 8, 1, 7, 2, 5)]
+    kind = "struct<v:int>"
+    found = spark.createDataFrame([(1, k, op, old, (new,), (0,), True, at) for k, op, old, new, at in rows], f"table_id int, entity_id long, op string, old {kind}, new {kind}, current {kind}, conflict boolean, at int")
+    tables = spark.createDataFrame([(1, "t")], "table_id int, table_name string")
+    for n in (1, 2, 3, 4):
+        for parts in (1, 3, 7):
+            assert {r.entity_id for r in conflict.log(found.repartition(parts), tables, n, ("at",)).collect()} == set([1, 3, 5, 7][:n])
+    assert {r.entity_id for r in conflict.log(found, tables, 6, ("at",)).collect()} == {1, 3, 5, 7, 9, 2}
+
+
 def test_difference_sees_nulls(spark):
     a = spark.createDataFrame([(1, None), (2, 5), (3, None)], "k int, v int")
     b = spark.createDataFrame([(1, None), (2, None), (4, None)], "k int, v int")
